@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm.location_mapping import map_locations
+from jobweave.llm.name_variants import link_names, variant_pairs
 from jobweave.session import table
 
 
@@ -25,5 +26,14 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("location_id = -1").groupBy("table_name", "value").agg(F.count("*").alias("n_rows"), F.first(F.size("places")).alias("n_possible"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched}
+def _aliases(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "company_aliases").select(F.col("alias_normalized").alias("alias"), F.col("canonical_company").alias("canonical"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "raw_postings").select(F.col("company").alias("name")).unionByName(table(spark, folder, "applied_exclusions").select(F.col("company_normalized").alias("name")))
+    return variant_pairs(link_names(names, _aliases(spark, folder)))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found}
 SQL: dict[str, str] = {}
