@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobweave.llm.location_mapping import map_locations
 from jobweave.llm.name_variants import link_names, variant_pairs
+from jobweave.llm.text_quality import text_statistics
 from jobweave.session import table
 
 
@@ -35,5 +36,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return variant_pairs(link_names(names, _aliases(spark, folder)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found}
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_statistics(spark, folder).where("kind <> 'prose'").select("doc_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {}
