@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobweave.llm.consensus import survivors, undisputed
 from jobweave.llm.location_mapping import map_locations
 from jobweave.llm.name_variants import link_names, variant_pairs
 from jobweave.llm.text_quality import text_statistics
@@ -44,5 +45,26 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_statistics(spark, folder).where("kind <> 'prose'").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
-SQL: dict[str, str] = {}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return undisputed(table(spark, folder, "merge_candidates"), table(spark, folder, "source_profiles"))
+
+
+def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors(table(spark, folder, "merge_candidates"), table(spark, folder, "source_profiles"))
+
+
+P6_SQL = """
+with t as (select m.*, coalesce(p.trust_rank, 2147483647) tr from merge_candidates m left join source_profiles p using (source_name)),
+l as (select group_id, copy_id, tr, scraped_at, 'canonical_url' f, canonical_url v, regexp_matches(canonical_url, '^https?://[^/?#\\s.]+\\.[^/?#\\s]+/([^/?#]+/)+[^/?#]*[0-9][^/?#]*/?([?#].*)?$') u, 0 z from t
+  union all select group_id, copy_id, tr, scraped_at, 'direct_apply_url', direct_apply_url, regexp_matches(direct_apply_url, '^https?://[^/?#\\s.]+\\.[^/?#\\s]+/([^/?#]+/)+[^/?#]*[0-9][^/?#]*/?([?#].*)?$'), 0 from t
+  union all select group_id, copy_id, tr, scraped_at, 'score', score::varchar, score >= 0, 0 from t
+  union all select group_id, copy_id, tr, scraped_at, 'description', description, not regexp_matches(description, '(\\.\\.\\.|…|\\[more\\])\\s*$') and regexp_matches(description, '[.!?]\\s*$')
+    and lower(description) not in ('n/a', 'no description given.', 'see website.', 'duplicate copy.', 'apply on company site') and regexp_replace(description, '<[^>]*>|\\s', '', 'g') <> '', length(description) from t),
+d as (select group_id, f from l group by 1, 2 having count(distinct v) + (count(*) > count(v))::int > 1),
+v as (select group_id, f, v, min(tr) tr, max(scraped_at) s, max(z) z, min(copy_id) c from l where coalesce(u, false) group by 1, 2, 3),
+b as (select group_id, f, min(tr) tr, max(s) s, max(z) z from v group by 1, 2)
+select v.group_id, v.f field_name, min(v.c) copy_id from v join b on v.group_id = b.group_id and v.f = b.f and v.tr = b.tr and v.s = b.s and v.z = b.z join d on d.group_id = v.group_id and d.f = v.f group by 1, 2
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p10_found": p10_found, "p10_statistics": p10_statistics}
+SQL: dict[str, str] = {"p6_found": P6_SQL}
