@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm.consensus import survivors, undisputed
+from jobweave.llm.linkage import match_records
 from jobweave.llm.location_mapping import map_locations
 from jobweave.llm.name_variants import link_names, variant_pairs
 from jobweave.llm.text_quality import text_statistics
@@ -53,6 +54,20 @@ def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return survivors(table(spark, folder, "merge_candidates"), table(spark, folder, "source_profiles"))
 
 
+def p7_matches(spark: SparkSession, folder: str) -> DataFrame:
+    r, p = table(spark, folder, "employer_requisitions"), table(spark, folder, "raw_postings")
+    place = F.concat_ws(", ", "work_city", "work_state")
+    left = r.select(F.col("req_id").alias("id"), F.col("employer").alias("name"), F.col("role_title").alias("title"), "team", place.alias("place"), F.col("term").alias("hint"), F.col("apply_link").alias("link"))
+    none = F.lit(None).cast("string")
+    right = p.select(F.col("posting_id").alias("id"), F.col("company").alias("name"), "title", none.alias("team"), F.col("location").alias("place"), F.col("cycle_hint").alias("hint"), F.col("direct_apply_url").alias("link"))
+    found = match_records(left, right, table(spark, folder, "ref_locations"), _aliases(spark, folder))
+    return found.select(F.col("left_id").alias("req_id"), F.col("right_id").alias("posting_id"), F.round("confidence", 4).alias("confidence"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_matches(spark, folder).select("req_id", "posting_id")
+
+
 P6_SQL = """
 with t as (select m.*, coalesce(p.trust_rank, 2147483647) tr from merge_candidates m left join source_profiles p using (source_name)),
 l as (select group_id, copy_id, tr, scraped_at, 'canonical_url' f, canonical_url v, regexp_matches(canonical_url, '^https?://[^/?#\\s.]+\\.[^/?#\\s]+/([^/?#]+/)+[^/?#]*[0-9][^/?#]*/?([?#].*)?$') u, 0 z from t
@@ -66,5 +81,5 @@ b as (select group_id, f, min(tr) tr, max(s) s, max(z) z from v group by 1, 2)
 select v.group_id, v.f field_name, min(v.c) copy_id from v join b on v.group_id = b.group_id and v.f = b.f and v.tr = b.tr and v.s = b.s and v.z = b.z join d on d.group_id = v.group_id and d.f = v.f group by 1, 2
 """
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_matches": p7_matches, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {"p6_found": P6_SQL}
