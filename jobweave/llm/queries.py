@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm.consensus import survivors, undisputed
+from jobweave.llm.history import find_repeats
 from jobweave.llm.linkage import match_records
 from jobweave.llm.location_mapping import map_locations
 from jobweave.llm.name_variants import link_names, variant_pairs
@@ -68,6 +69,15 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_matches(spark, folder).select("req_id", "posting_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "classified_jobs")
+    source = F.when(F.trim("source_job_id") != "", F.concat_ws(":", "source_name", F.trim("source_job_id")))
+    place = F.when(F.col("normalized_location") != "unspecified", F.col("normalized_location"))
+    rows = c.select(F.col("job_id").alias("id"), F.col("batch_no").alias("batch"), F.col("company").alias("name"), "title", place.alias("place"), F.col("cycle").alias("hint"), F.col("canonical_url").alias("link"), source.alias("source"))
+    found = find_repeats(rows, table(spark, folder, "ref_locations"), _aliases(spark, folder))
+    return found.select(F.col("first").alias("job_id_a"), F.col("later").alias("job_id_b"))
+
+
 P6_SQL = """
 with t as (select m.*, coalesce(p.trust_rank, 2147483647) tr from merge_candidates m left join source_profiles p using (source_name)),
 l as (select group_id, copy_id, tr, scraped_at, 'canonical_url' f, canonical_url v, regexp_matches(canonical_url, '^https?://[^/?#\\s.]+\\.[^/?#\\s]+/([^/?#]+/)+[^/?#]*[0-9][^/?#]*/?([?#].*)?$') u, 0 z from t
@@ -81,5 +91,5 @@ b as (select group_id, f, min(tr) tr, max(s) s, max(z) z from v group by 1, 2)
 select v.group_id, v.f field_name, min(v.c) copy_id from v join b on v.group_id = b.group_id and v.f = b.f and v.tr = b.tr and v.s = b.s and v.z = b.z join d on d.group_id = v.group_id and d.f = v.f group by 1, 2
 """
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_matches": p7_matches, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_matches": p7_matches, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {"p6_found": P6_SQL}
