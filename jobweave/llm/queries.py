@@ -9,7 +9,9 @@ from jobweave.llm.consensus import survivors, undisputed
 from jobweave.llm.history import find_repeats
 from jobweave.llm.linkage import match_records
 from jobweave.llm.location_mapping import map_locations
+from jobweave.llm.mixing import draw_mixes, share_report
 from jobweave.llm.name_variants import link_names, variant_pairs
+from jobweave.llm.packing import fill_report, pack_documents
 from jobweave.llm.text_quality import text_statistics
 from jobweave.session import table
 
@@ -78,6 +80,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("first").alias("job_id_a"), F.col("later").alias("job_id_b"))
 
 
+def p8_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_report(p8_windows(spark, folder), table(spark, folder, "pack_sizes"))
+
+
+def p9_draw(spark: SparkSession, folder: str) -> DataFrame:
+    return draw_mixes(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return share_report(p9_draw(spark, folder), table(spark, folder, "mix_targets"))
+
+
 P6_SQL = """
 with t as (select m.*, coalesce(p.trust_rank, 2147483647) tr from merge_candidates m left join source_profiles p using (source_name)),
 l as (select group_id, copy_id, tr, scraped_at, 'canonical_url' f, canonical_url v, regexp_matches(canonical_url, '^https?://[^/?#\\s.]+\\.[^/?#\\s]+/([^/?#]+/)+[^/?#]*[0-9][^/?#]*/?([?#].*)?$') u, 0 z from t
@@ -91,5 +109,5 @@ b as (select group_id, f, min(tr) tr, max(s) s, max(z) z from v group by 1, 2)
 select v.group_id, v.f field_name, min(v.c) copy_id from v join b on v.group_id = b.group_id and v.f = b.f and v.tr = b.tr and v.s = b.s and v.z = b.z join d on d.group_id = v.group_id and d.f = v.f group by 1, 2
 """
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_matches": p7_matches, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_matches": p7_matches, "p8_windows": p8_windows, "p8_fill": p8_fill, "p9_draw": p9_draw, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {"p6_found": P6_SQL}
