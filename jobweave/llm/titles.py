@@ -31,6 +31,8 @@ LATER = "Later compatible"
 
 _CYCLE_SHORT = re.compile(r"\b(su|us|sum|fa|sp|spr|wi|win|f|w)['’]?\s?(?:20)?(2[3-9]|3[0-5])\b")
 _YEAR = re.compile(r"(?<![\w.])(?:class of\s+)?['’‘]?(?:20)?(2[3-9]|3[0-5])(?![\w.%])")
+_DIGITS = re.compile(r"[0-9]{2}")
+_SEASONLIKE = re.compile(r"[a-z]{4,7}")
 _SEGMENT = re.compile(r"\s+[-–—|/·•]+\s+|:\s|[(),;\[\]|*]|\s[-–—]|[-–—]\s|$")
 _WORD = re.compile(r"s/w|h/w|co-op|front[- ]end|back[- ]end|dev[- ]ops|[a-z0-9]+(?:['’][a-z]+)?\.?")
 #: A token of at least this share of all titles counts as correctly written; at most 1/share times the tokens of a title can.
@@ -71,6 +73,7 @@ class Titles:
             if len(w) > 3 and w.isalpha():
                 for v in {w} | {w[:k] + w[k + 1 :] for k in range(len(w))}:
                     self.near.setdefault(v, set()).add(w)
+        self.seasons: dict[str, tuple[str, bool]] = {}
         self.long = [w for w in self.to if len(w) > 5 and w.isalpha()]
         self.tokens: dict[str, tuple[tuple[str, ...], bool]] = {}
         self.segments: dict[str, tuple[tuple[str, ...], tuple[int, ...]]] = {}
@@ -124,25 +127,39 @@ class Titles:
             return (), self.places.read(text)[1]
         return tuple(got), ()
 
+    def _season(self, w: str) -> tuple[str, bool]:
+        """(the season that a word spells, or misspells, or ''; whether it is spelt right)."""
+        if w in SEASONS:
+            return SEASONS[w], True
+        if w in self.to:
+            return "", False
+        if w in ("flal", "fll", "afll", "falll"):
+            return "Fall", False
+        near = [v for s, v in SEASONS.items() if len(s) > 4 and len(w) > 4 and edits(w, s, 1) <= 1]
+        return (near[0] if near else ""), False
+
     def read(self, title: str | None) -> tuple[str, str, tuple[int, ...]]:
         """(signature: the sorted words of role and team, cycle or '', entries of a place named in the title)."""
         if not title or not title.strip():
             return "", "", ()
         text = " ".join(fold(title[:1000]).replace("&amp;", "&").split())
         years, seasons = [], []
-        for s, y in _CYCLE_SHORT.findall(text):
-            seasons.append(_SHORT_SEASON[s])
-            years.append(2000 + int(y))
-        text = _CYCLE_SHORT.sub(" ", text)
-        years += [2000 + int(y) for y in _YEAR.findall(text)]
-        text = _YEAR.sub(" ", text)
-        for w in re.findall(r"[a-z]{4,7}", text):
-            if w in SEASONS:
-                seasons.append(SEASONS[w])
-            elif years and w not in self.to and len(w) > 4:
-                seasons += [v for s, v in SEASONS.items() if len(s) > 4 and edits(w, s, 1) <= 1]
-            elif years and w in ("flal", "fal", "fll", "afll", "falll"):
-                seasons.append("Fall")
+        if _DIGITS.search(text):
+            for s, y in _CYCLE_SHORT.findall(text):
+                seasons.append(_SHORT_SEASON[s])
+                years.append(2000 + int(y))
+            if years:
+                text = _CYCLE_SHORT.sub(" ", text)
+            found = _YEAR.findall(text)
+            if found:
+                years += [2000 + int(y) for y in found]
+                text = _YEAR.sub(" ", text)
+        for w in _SEASONLIKE.findall(text):
+            if w not in self.seasons:
+                self.seasons[w] = self._season(w)
+            s, exact = self.seasons[w]
+            if s and (exact or years):
+                seasons.append(s)
         cycle = f"{seasons[0]} {years[0]}" if seasons and years else LATER if years and years[0] >= 2028 or "later compatible" in text else ""
         words: set[str] = set()
         places: tuple[int, ...] = ()
