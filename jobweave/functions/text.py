@@ -14,9 +14,14 @@ EDGE_LEFT, EDGE_RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
-@F.pandas_udf("string")
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+def nfkc(value: Column) -> Column:
+    """Compatibility forms resolved (NFKC), in Python: neither the JVM's functions nor SQL have it."""
+
+    @F.pandas_udf("string")
+    def normal(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    return normal(value)
 
 
 def trim_space(value: Column) -> Column:
@@ -31,10 +36,9 @@ def squeeze(value: Column) -> Column:
 def normalize_text(value: Column, compatibility: bool = False) -> Column:
     """Lower case, ``&amp;`` decoded, everything but letters, digits and ``+ # .`` one blank, trimmed. Null stays null.
 
-    ``compatibility`` resolves compatibility forms (NFKC) first. That needs Python, so it is asked for only where a source is known to use them; ASCII
-    texts never pass through Python's normalisation unchanged by more than a copy.
+    ``compatibility`` resolves compatibility forms (NFKC) first. That needs Python, so it is asked for only where a source is known to use them.
     """
-    value = _nfkc(value) if compatibility else value
+    value = nfkc(value) if compatibility else value
     return F.trim(F.regexp_replace(F.replace(F.lower(value), F.lit("&amp;"), F.lit("&")), "[^a-z0-9+#.]+", " "))
 
 

@@ -48,21 +48,22 @@ def _differences(now: tuple[np.ndarray, np.ndarray], old: tuple[np.ndarray, np.n
 
 def _bucket_differences(pdf: pd.DataFrame) -> pd.DataFrame:
     """All differences of one bucket. Columns: source, snapshot_no, previous (of every good snapshot, -1 for the first), key, row."""
-    found = []
-    for _, one in pdf.groupby("source", sort=False):
+    found: dict[str, list] = {"source": [], "snapshot_no": [], "key": [], "change_kind": []}
+    for source, one in pdf.groupby("source", sort=False):
         arrays, before = {}, {}
         for (no, previous), part in one.groupby(["snapshot_no", "previous"], sort=False):
             keys = np.array(part["key"].to_list(), dtype="S32")
             order = np.argsort(keys, kind="stable")
             arrays[no], before[no] = (keys[order], part["row"].to_numpy()[order]), previous
-        yield_ = [(no, arrays[no], arrays.get(p)) for no, p in before.items() if p >= 0]
+        pairs = [(no, arrays[no], arrays.get(p)) for no, p in before.items() if p >= 0]
         empty = (np.array([], dtype="S32"), np.array([], dtype="int64"))
-        # snapshots that have no row in this bucket at all are in no key of ``before``; the caller adds a marker row for each
-        for no, now, old in yield_:
+        # every good snapshot has a marker row ("-") in every bucket, so one without rows here is met too
+        for no, now, old in pairs:
             for kind, keys in _differences(tuple(a[now[0] != b"-"] for a in now), tuple(a[old[0] != b"-"] for a in old) if old else empty):
-                if len(keys):
-                    found.append(pd.DataFrame({"source": one["source"].iloc[0], "snapshot_no": no, "key": keys.astype("U32"), "change_kind": kind}))
-    return pd.concat(found) if found else pd.DataFrame({"source": [], "snapshot_no": pd.Series([], dtype="int32"), "key": [], "change_kind": []})
+                n = len(keys)
+                for name, values in (("source", [source] * n), ("snapshot_no", [no] * n), ("key", keys.astype("U32").tolist()), ("change_kind", [kind] * n)):
+                    found[name] += values
+    return pd.DataFrame(found).astype({"source": object, "snapshot_no": "int32", "key": object, "change_kind": object})
 
 
 def snapshot_changes(snapshots: DataFrame, runs: DataFrame, values: dict[str, Column], buckets: int | None = None) -> DataFrame:
@@ -81,6 +82,7 @@ def snapshot_changes(snapshots: DataFrame, runs: DataFrame, values: dict[str, Co
     # a first good snapshot is only an "old" side
     good = pairs.unionByName(pairs.groupBy("source").agg(F.min("previous").alias("snapshot_no")).withColumn("previous", F.lit(-1)))
     good = good.join(firsts, ["source", "snapshot_no"], "left_semi")
+    good = write_shared(good, "good-snapshots")
     rows = snapshots.select(source.alias("source"), ident.alias("source_job_id"), "snapshot_no", "delivered_at", "material_version", F.xxhash64(text).alias("row")).where("source is not null and source_job_id <> ''")
     rows = rows.withColumn("key", F.md5(F.concat_ws("\u0001", "source", "source_job_id"))).join(F.broadcast(good) if runs.count() <= 100_000 else good, ["source", "snapshot_no"])
     one = rows.groupBy("source", "snapshot_no", "previous", "key").agg(F.max_by("row", F.struct("delivered_at", "material_version", "row")).alias("row"), F.min("source_job_id").alias("source_job_id"))

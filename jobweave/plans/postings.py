@@ -191,7 +191,7 @@ def listing_links(spark: SparkSession, d: str) -> DataFrame:
 def local_dedupe(spark: SparkSession, d: str) -> DataFrame:
     j = _jobs(spark, d)
     bucket = identity.location_bucket(F.coalesce("normalized_location", F.lit("")), F.coalesce("normalized_location", F.lit("")))
-    keys = dedupe.alternative_keys(F.col("canonical_url"), F.col("normalized_company"), F.col("source_job_id"), F.col("normalized_title"), F.coalesce("normalized_location", F.lit("")), F.col("cycle0"), bucket, F.col("signature"), F.concat(F.lit("key:"), F.col("canonical_key")))
+    keys = dedupe.alternative_keys(F.col("canonical_url"), F.col("normalized_company"), F.col("source_job_id"), F.col("normalized_title"), F.coalesce("normalized_location", F.lit("")), F.col("cycle0"), bucket, F.col("signature"), F.col("canonical_key"))
     ranked = j.withColumn("keys", keys).withColumn("r1", -url.apply_link_rank(F.col("canonical_url"))).withColumn("r2", -F.coalesce("score", F.lit(0)))
     return dedupe.greedy_dedupe(ranked, "job_id", "keys", [F.col("r1"), F.col("r2")]).select("job_id")
 
@@ -209,11 +209,12 @@ select requisition, first(job_id order by s desc, job_id) job_id, coalesce(any_v
 from g left join l using (requisition) group by 1
 """
 
-_FAIR = [Order(F.coalesce("score", F.lit(0)), True), Order(F.col("job_id"))]
+def _fair() -> list[Order]:
+    return [Order(F.coalesce("score", F.lit(0)), True), Order(F.col("job_id"))]
 
 
 def fair_top(spark: SparkSession, d: str) -> DataFrame:
-    return dedupe.fair_top(table(spark, d, "classified_jobs"), "normalized_company", _FAIR, 100).select("job_id", "normalized_company", "deal_no")
+    return dedupe.fair_top(table(spark, d, "classified_jobs"), "normalized_company", _fair(), 100).select("job_id", "normalized_company", "deal_no")
 
 
 FAIR_SQL = """
@@ -226,7 +227,7 @@ def capped_batch(spark: SparkSession, d: str) -> DataFrame:
     """All members of the requisitions that a fair cap of 100 keeps."""
     j = _jobs(spark, d).withColumn("place", F.coalesce("normalized_location", F.lit("")))
     g = dedupe.collapse(j, F.col("requisition"), "job_id", [-F.coalesce("score", F.lit(0))], "place", ["job_id", "score", "normalized_company"])
-    return dedupe.expand_members(dedupe.cap_groups(g, "requisition", "normalized_company", _FAIR, 100)).select(F.col("id").alias("job_id"), "member_no", "displayed")
+    return dedupe.expand_members(dedupe.cap_groups(g, "requisition", "normalized_company", _fair(), 100)).select(F.col("id").alias("job_id"), "member_no", "displayed")
 
 
 CAPPED_SQL = f"""

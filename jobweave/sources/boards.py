@@ -64,7 +64,10 @@ def _generic_records(payload: Column) -> Column:
     return F.when(F.trim(payload).startswith("["), array(payload)).otherwise(F.coalesce(*own, F.array().cast("array<string>")))
 
 
-_HOST = F.regexp_replace("host", "/$", "")
+def _site(*rest: Column | str) -> Column:
+    """An address under the board's host."""
+    return F.concat(F.regexp_replace("host", "/$", ""), *[F.lit(r) if isinstance(r, str) else r for r in rest])
+
 
 BOARDS: dict[str, Board] = {
     "greenhouse": Board(
@@ -90,11 +93,11 @@ BOARDS: dict[str, Board] = {
     "oracle": Board(
         "struct<items:array<struct<requisitionList:array<struct<Id:string,Title:string,PrimaryLocation:string,PostedDate:string,ShortDescriptionStr:string,ExternalQualificationsStr:string,ExternalResponsibilitiesStr:string,JobSchedule:string>>>>>",
         lambda p: F.try_element_at(p["items"], F.lit(1))["requisitionList"], _texts("Id", "Title"),
-        lambda r: {"source_job_id": r["Id"], "title": r["Title"], "location": r["PrimaryLocation"], "posted_at": F.when(r["PostedDate"].isNotNull(), F.concat(r["PostedDate"], F.lit("T00:00:00.000Z"))), "description": F.nullif(_joined(r["ShortDescriptionStr"], r["ExternalResponsibilitiesStr"], r["ExternalQualificationsStr"], sep="\n"), F.lit("")), "employment_type": r["JobSchedule"], "source_url": F.concat(_HOST, F.lit("/hcmUI/CandidateExperience/en/sites/"), F.col("site"), F.lit("/job/"), r["Id"]), "direct_apply_url": F.concat(_HOST, F.lit("/hcmUI/CandidateExperience/en/sites/"), F.col("site"), F.lit("/job/"), r["Id"])},
+        lambda r: {"source_job_id": r["Id"], "title": r["Title"], "location": r["PrimaryLocation"], "posted_at": F.when(r["PostedDate"].isNotNull(), F.concat(r["PostedDate"], F.lit("T00:00:00.000Z"))), "description": F.nullif(_joined(r["ShortDescriptionStr"], r["ExternalResponsibilitiesStr"], r["ExternalQualificationsStr"], sep="\n"), F.lit("")), "employment_type": r["JobSchedule"], "source_url": _site("/hcmUI/CandidateExperience/en/sites/", F.col("site"), "/job/", r["Id"]), "direct_apply_url": _site("/hcmUI/CandidateExperience/en/sites/", F.col("site"), "/job/", r["Id"])},
     ),
     "workday": Board(
         "string", _generic_records, lambda r: F.coalesce(_any(r, "title") != "", F.lit(False)),
-        lambda r: {"source_job_id": F.coalesce(_any(r, "bulletFields[0]", "id", "externalPath"), F.lit("")), "title": _any(r, "title"), "location": F.coalesce(_any(r, "locationsText"), F.lit("Unspecified")), "posted_at": _iso(parse_prose_day(_any(r, "postedOn"), _now())), "employment_type": _any(r, "timeType"), "source_url": F.concat(_HOST, F.lit("/en-US/"), F.col("site"), _any(r, "externalPath")), "direct_apply_url": F.concat(_HOST, F.lit("/en-US/"), F.col("site"), _any(r, "externalPath")), "raw": r},
+        lambda r: {"source_job_id": F.coalesce(_any(r, "bulletFields[0]", "id", "externalPath"), F.lit("")), "title": _any(r, "title"), "location": F.coalesce(_any(r, "locationsText"), F.lit("Unspecified")), "posted_at": _iso(parse_prose_day(_any(r, "postedOn"), _now())), "employment_type": _any(r, "timeType"), "source_url": _site("/en-US/", F.col("site"), F.coalesce(_any(r, "externalPath"), F.lit(""))), "direct_apply_url": _site("/en-US/", F.col("site"), F.coalesce(_any(r, "externalPath"), F.lit(""))), "raw": r},
         strict=False,
     ),
     "generic": Board(
@@ -122,7 +125,7 @@ def _parsed(payloads: DataFrame, kind: str) -> DataFrame:
     own = payloads.where(F.col("kind") == kind)
     tree = F.col("payload") if b.schema == "string" else F.from_json("payload", b.schema, {"mode": "PERMISSIVE"})
     out = own.withColumn("_tree", tree).withColumn("_records", b.records(F.col("_tree")))
-    readable = F.when(F.lit(b.schema == "string"), F.from_json("payload", "variant").isNotNull() if False else F.trim("payload").rlike(r"^[\[{]")).otherwise(F.col("_records").isNotNull())
+    readable = F.when(F.lit(b.schema == "string"), F.trim("payload").rlike(r"^[\[{]")).otherwise(F.col("_records").isNotNull())
     bad = F.exists("_records", lambda r: ~b.valid(r)) if b.strict else F.lit(False)
     error = F.when(~F.coalesce(readable, F.lit(False)), "payload cannot be read").when(F.coalesce(bad, F.lit(False)), "a record lacks a required field")
     error = F.coalesce(error, F.when((F.coalesce(F.size("_records"), F.lit(0)) <= 0) & (F.length("payload") > EMPTY_PARSE_BYTES), "parsed 0 rows"))

@@ -40,7 +40,7 @@ def table_rows(documents: DataFrame) -> DataFrame:
     html = F.regexp_extract_all("document", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"))
     d = documents.withColumn("_pipe", pipe)
     piped = d.where(F.size("_pipe") > 0).select(*_KEEP, F.posexplode("_pipe").alias("line_no", "line"))
-    piped = piped.withColumn("cells", F.transform(F.split(F.regexp_replace(F.regexp_replace("line", r"^\s*\|", ""), r"\|\s*$", ""), r"\|", -1), F.trim)).drop("line")
+    piped = piped.withColumn("cells", F.transform(F.split(F.regexp_replace(F.regexp_replace("line", r"^\s*\|", ""), r"\|\s*$", ""), r"\|", -1), lambda x: F.trim(x))).drop("line")
     tabled = d.where(F.size("_pipe") == 0).select(*_KEEP, F.posexplode(html).alias("line_no", "line"))
     tabled = tabled.withColumn("cells", F.regexp_extract_all("line", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"))).where(F.size("cells") >= 3).drop("line")
     return piped.unionByName(tabled)
@@ -147,7 +147,7 @@ def parse_watchlist(documents: DataFrame, priorities: list[tuple[str, int]], oth
     lines = forward_fill(lines.withColumn("_head", F.nullif(F.trim(F.regexp_extract("line", r"^##\s+(.+)", 1)), F.lit(""))), "_head", ["doc"], ["line_no"], "section")
     body = lines.where(F.col("section").isNotNull() & ~F.col("section").isin(list(skip)) & (F.trim("line") != "") & ~F.col("line").rlike("^[#-]"))
     groups = body.select("section", "line_no", F.posexplode(F.split(F.regexp_replace("line", r"\.$", ""), r",\s*")).alias("no", "names"))
-    aliases = F.filter(F.transform(F.split("names", "/"), F.trim), lambda a: a != "")
+    aliases = F.filter(F.transform(F.split("names", "/"), lambda x: F.trim(x)), lambda a: a != "")
     priority = F.lit(otherwise)
     for pattern, n in reversed(priorities):
         priority = F.when(F.col("section").rlike(pattern), n).otherwise(priority)
