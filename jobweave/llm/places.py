@@ -191,7 +191,8 @@ class Places:
                 return self.remote[0], tuple(self.remote)
             return -1, ()
         if len(names) > 1:
-            keep = sorted({i for ids, _ in found for i in ids if not states or self.info[i][1] in states})
+            # a state written for every name narrows each; "A or B, ST" leaves the first one open
+            keep = sorted({i for ids, _ in found for i in ids if len(states) < len(names) or self.info[i][1] in states})
             return -1, tuple(keep)
         ids, _ = found[0]
         fit = [i for i in ids if self.info[i][1] in states] if states else list(ids)
