@@ -100,3 +100,17 @@ def test_links_cards_collection_detail_watchlist(spark):
     assert got == {"Acme": (["Acme", "Acme Labs"], 10), "Beta": (["Beta"], 10), "Gamma": (["Gamma"], 4)}
     pages = spark.createDataFrame([("a", "<p>" + "x" * 600), ("b", "short"), ("c", None)], "url string, html string")
     assert {r.url: len(r.content_hash or "") for r in page_hashes(pages).collect()} == {"a": 64, "b": 0, "c": 0}
+
+
+def test_ledger_and_boards(spark):
+    from jobweave.sources.exclusions import board_candidates, harvest_boards, read_exclusions, unconfigured
+
+    page = {"Company": {"type": "title", "title": [{"plain_text": "Acme, "}, {"plain_text": "Inc."}]}, "Role": {"type": "rich_text", "rich_text": [{"plain_text": "SWE Intern"}]}, "LINK": {"type": "url", "url": "https://A.example/1?utm_source=x"}}
+    pages = spark.createDataFrame([("p1", json.dumps(page)), ("p2", "{}"), ("p3", None), ("p4", "not json")], "page_id string, properties string")
+    rows = [tuple(r) for r in read_exclusions(pages, ["company"], ["role", "title"], ["link"], ["id"]).collect()]
+    assert rows == [("p1", "acme", "swe intern", "https://a.example/1", None)]
+    assert board_candidates(spark.createDataFrame([("Acme Labs",)], "company string"), ["x", "y"]).count() == 6
+    links = spark.createDataFrame([("https://jobs.lever.co/acme/2", 2), ("https://jobs.lever.co/acme/1", 1), ("https://jobs.ashbyhq.com/beta/1", 3), ("https://x.example", 4)], "url string, ordinal int")
+    assert [tuple(r) for r in harvest_boards(links, spark.createDataFrame([("ashby", "beta")], "ats string, board string")).collect()] == [("lever", "acme", "https://jobs.lever.co/acme/1")]
+    watch = spark.createDataFrame([("Acme", ["Acme", "Acme Labs"]), ("Beta", ["Beta"])], "parent string, aliases array<string>")
+    assert [r.parent for r in unconfigured(watch, spark.createDataFrame([("ACME LABS",)], "company string")).collect()] == ["Beta"]
