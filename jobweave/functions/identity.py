@@ -81,15 +81,19 @@ def identity_words(normalized_title: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalized_title, " "), lambda w: (F.length(w) > 2) & ~w.rlike(FILLER)))
 
 
-def _overlap(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    x, y = identity_words(a), identity_words(b)
+def _overlap(x: Column, y: Column) -> tuple[Column, Column, Column]:
     return F.size(F.array_intersect(x, y)), F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
 
 
 def titles_describe_one_role(a: Column, b: Column) -> Column:
     """Equal, or alike in at least 4/5 of the shorter and 3/5 of the longer title's meaningful words."""
-    shared, low, high = _overlap(a, b)
-    return (a == b) | F.coalesce((low > 0) & (shared >= 0.8 * low) & (shared >= 0.6 * high), F.lit(False))
+    return (a == b) | words_describe_one_role(identity_words(a), identity_words(b))
+
+
+def words_describe_one_role(x: Column, y: Column) -> Column:
+    """The test on the words themselves, for callers that compare many pairs."""
+    shared, low, high = _overlap(x, y)
+    return F.coalesce((low > 0) & (shared >= 0.8 * low) & (shared >= 0.6 * high), F.lit(False))
 
 
 def same_employer(a: Column, b: Column) -> Column:
@@ -99,8 +103,12 @@ def same_employer(a: Column, b: Column) -> Column:
 
 def describes_same_role(a: Column, b: Column) -> Column:
     """Both early-career or neither, and alike in 7/10 of the shorter title's meaningful words."""
-    shared, low, _ = _overlap(normalize_text(a), normalize_text(b))
-    return (a.rlike(EARLY) == b.rlike(EARLY)) & (low > 0) & (shared >= 0.7 * low)
+    return (a.rlike(EARLY) == b.rlike(EARLY)) & words_describe_same_role(identity_words(normalize_text(a)), identity_words(normalize_text(b)))
+
+
+def words_describe_same_role(x: Column, y: Column) -> Column:
+    shared, low, _ = _overlap(x, y)
+    return (low > 0) & (shared >= 0.7 * low)
 
 
 def digest_hash(ids: Column) -> Column:

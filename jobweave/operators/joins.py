@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.functions.identity import titles_describe_one_role
+from jobweave.functions.identity import EARLY, identity_words, same_employer, words_describe_one_role, words_describe_same_role
+from jobweave.functions.text import normalize_text
 from jobweave.operators.dedupe import distinct_first
 
 
@@ -45,15 +46,18 @@ def first_override(rows: DataFrame, ident: str, company: str, source_id: str, ur
 def excluded_ids(rows: DataFrame, ident: str, company: str, title: str, url: str, source_id: str, exclusions: DataFrame) -> DataFrame:
     """The ids of rows that an exclusion means: the same source id, the same http address, or the same company and a title of the same role.
 
-    Three equi-joins, united. For the third, titles are made distinct per company on both sides first, so that copies are compared once.
+    Three equi-joins, united. For the third, titles are reduced to their sets of meaningful words per company, so that wordings of one set are compared once.
     """
     e = exclusions
     by_id = rows.where(F.col(source_id).isNotNull() & (F.col(source_id) != "")).join(e.select(F.col("source_job_id").alias(source_id)).distinct(), source_id, "left_semi").select(ident)
     by_url = rows.where(F.col(url).startswith("http")).join(e.select(F.col("canonical_url").alias(url)).distinct(), url, "left_semi").select(ident)
-    mine = rows.select(F.col(company).alias("_c"), F.col(title).alias("_t")).distinct()
-    theirs = e.select(F.col("company_normalized").alias("_c"), F.col("title_normalized").alias("_x")).distinct()
-    alike = mine.join(theirs, "_c").where(titles_describe_one_role(F.col("_t"), F.col("_x"))).select(F.col("_c").alias(company), F.col("_t").alias(title)).distinct()
-    by_title = rows.join(alike, [company, title], "left_semi").select(ident)
+    words = lambda c: F.array_sort(identity_words(F.col(c)))
+    mine = rows.select(F.col(company).alias("_c"), words(title).alias("_x")).distinct()
+    theirs = e.select(F.col("company_normalized").alias("_c"), words("title_normalized").alias("_y")).distinct()
+    alike = mine.join(theirs, "_c").where(words_describe_one_role(F.col("_x"), F.col("_y"))).select("_c", "_x").distinct()
+    by_words = rows.select(ident, F.col(company).alias("_c"), words(title).alias("_x")).join(alike, ["_c", "_x"], "left_semi").select(ident)
+    equal = e.select(F.col("company_normalized").alias(company), F.col("title_normalized").alias(title)).distinct()
+    by_title = by_words.unionByName(rows.join(equal, [company, title], "left_semi").select(ident))
     return by_id.unionByName(by_url).unionByName(by_title).distinct()
 
 
@@ -86,11 +90,21 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str], columns:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
-def first_listing_match(listings: DataFrame, postings: DataFrame, token: Column, residual: Column) -> DataFrame:
-    """listing_id, posting_id: the first posting (by ordinal) that a listing resolves to: blocked on a word of the employer, then the residual predicate.
+def first_listing_match(listings: DataFrame, postings: DataFrame) -> DataFrame:
+    """listing_id, posting_id: the first posting (by ordinal) whose employer's name contains or is contained in the listing's and whose title tells the same role.
 
-    ``listings``: listing_id, name, l_*; ``postings``: posting_id, name, ordinal, p_*; the predicate reads both.
+    Both have name and title. Rows are reduced to distinct (name, set of meaningful words, early career or not) before they meet in blocks of a word of the
+    name, so that what is compared grows with the wordings and not with the rows. Rows without a name or a title match nothing.
     """
-    words = lambda df: df.withColumn("_w", F.explode(F.array_distinct(F.split(token, " ")))).where("_w <> ''")
-    a, b = words(listings.withColumnRenamed("name", "_n")).withColumnRenamed("_n", "l_name"), words(postings.withColumnRenamed("name", "_n")).withColumnRenamed("_n", "p_name")
-    return a.join(b, "_w").where(residual).groupBy("listing_id").agg(F.min_by("posting_id", F.struct("ordinal", "posting_id")).alias("posting_id"))
+    def reduced(rows: DataFrame, ident: str, best: Column, side: str) -> DataFrame:
+        keys = [normalize_text(F.col("name")).alias(f"{side}name"), F.array_sort(identity_words(normalize_text(F.col("title")))).alias(f"{side}words"), F.col("title").rlike(EARLY).alias("early")]
+        out = rows.where("name is not null and title is not null").select(ident, *keys, *([best.alias("ordinal")] if side == "p" else []))
+        out = out.groupBy(f"{side}name", "pwords", "early").agg(F.min(F.struct("ordinal", ident)).alias("best")) if side == "p" else out
+        return out.withColumn("block", F.explode(F.array_distinct(F.split(f"{side}name", " ")))).where("block <> ''")
+
+    left = reduced(listings, "listing_id", F.lit(0), "l")
+    asked = left.select("block", "lname", "lwords", "early").distinct()
+    right = reduced(postings, "posting_id", F.col("ordinal"), "p")
+    met = asked.join(right, ["block", "early"]).where(same_employer(F.col("lname"), F.col("pname")) & words_describe_same_role(F.col("lwords"), F.col("pwords")))
+    found = met.groupBy("lname", "lwords", "early").agg(F.min("best").alias("best"))
+    return left.select("listing_id", "lname", "lwords", "early").distinct().join(found, ["lname", "lwords", "early"]).select("listing_id", F.col("best.posting_id").alias("posting_id"))

@@ -111,7 +111,7 @@ _CY = "case " + " ".join(
 def printed_dates(spark: SparkSession, d: str) -> DataFrame:
     r, n = table(spark, d, "raw_postings"), _now()
     posted = F.col("posted_at")
-    return r.select("posting_id", dates.parse_posted_at(posted, n).alias("relative"), dates.parse_listed_date(posted).alias("listed"), dates.parse_prose_day(posted, n).alias("prose"), dates.posted_day_key(F.when(posted.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"), posted), F.lit(None)).alias("day_key"))
+    return r.select("posting_id", dates.parse_posted_at(posted, n).cast("timestamp_ntz").alias("relative"), dates.parse_listed_date(posted).cast("timestamp_ntz").alias("listed"), dates.parse_prose_day(posted, n).cast("timestamp_ntz").alias("prose"), dates.posted_day_key(F.when(posted.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"), posted), F.lit(None)).alias("day_key"))
 
 
 DATES_SQL = f"""
@@ -180,11 +180,10 @@ def latest_source_row(spark: SparkSession, d: str) -> DataFrame:
 
 
 def listing_links(spark: SparkSession, d: str) -> DataFrame:
-    """Requisitions without a usable link, resolved to the first posting of an employer of that name and a title of the same role."""
-    r = table(spark, d, "employer_requisitions").where("apply_link is null").select(F.col("req_id").alias("listing_id"), text.normalize_text(F.col("employer")).alias("name"), F.col("role_title").alias("l_title"))
-    p = table(spark, d, "raw_postings").where("title is not null and company is not null").groupBy(text.normalize_text(F.col("company")).alias("name"), F.col("title").alias("p_title")).agg(F.min("posting_id").alias("posting_id")).withColumn("ordinal", F.col("posting_id"))
-    residual = identity.same_employer(F.col("l_name"), F.col("p_name")) & identity.describes_same_role(F.col("p_title"), F.col("l_title"))
-    return joins.first_listing_match(r, p, F.regexp_extract("_n", r"^(\S+)", 1), residual)
+    """Requisitions without a link, resolved to the first posting of an employer of that name and a title of the same role."""
+    r = table(spark, d, "employer_requisitions").where("apply_link is null").select(F.col("req_id").alias("listing_id"), F.col("employer").alias("name"), F.col("role_title").alias("title"))
+    p = table(spark, d, "raw_postings").select("posting_id", F.col("company").alias("name"), "title", F.col("posting_id").alias("ordinal"))
+    return joins.first_listing_match(r, p)
 
 
 # --- duplicates, groups, caps ------------------------------------------------------------------------------------------------------------------------
@@ -392,7 +391,7 @@ SQL = {
     "stored_match": STORED_SQL,
     "latest_source_row": "select source_name, trim(source_job_id) source_job_id, arg_max(posting_id, (ingested_at, posting_id)) posting_id, arg_max({'t': title}, (ingested_at, posting_id)).t title, max(ingested_at) ingested_at from raw_postings where trim(source_job_id) <> '' group by 1, 2",
     "collapse_requisitions": COLLAPSE_SQL, "fair_top": FAIR_SQL, "capped_batch": CAPPED_SQL,
-    "digest_sections": "select list_position(['board', 'aggregator', 'list', 'mirror'], kind) section_no, kind section, count(*) n, count(distinct normalized_company) n_companies from classified_jobs join source_profiles using (source_name) group by 1, 2",
+    "digest_sections": "select list_position(['board', 'aggregator', 'list', 'mirror'], kind)::bigint section_no, kind section, count(*) n, count(distinct normalized_company) n_companies from classified_jobs join source_profiles using (source_name) group by 1, 2",
     "batch_keys": "select batch_no, strftime(max(accepted_at) at time zone 'UTC', '%Y-%m-%dT%H') || ':' || left(sha256(string_agg(job_id::varchar, '|' order by job_id::varchar)), 24) batch_key, count(*)::int n_jobs from classified_jobs group by 1",
     "merged_state": MERGE_SQL,
     "stale_closed": "with s as (select c.job_id, accepted_at a, ingested_at i from classified_jobs c left join raw_postings using (posting_id)), t as (select a < timestamptz '2026-10-01 00:00:00+00' - interval 72 hour and not coalesce(i >= timestamptz '2026-10-01 00:00:00+00' - interval 72 hour, false) x from s) select case when x then 'CLOSED' else 'OPEN' end status, count(*) n, max(case when x then timestamptz '2026-10-01 00:00:00+00' end) closed_at from t group by 1",

@@ -36,7 +36,17 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they were started in."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder."""
+    reach_workers(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -56,4 +66,5 @@ def local_session(cpus: int | None = None, name: str = "jobweave") -> SparkSessi
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    reach_workers(spark)
     return spark
