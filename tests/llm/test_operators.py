@@ -106,6 +106,15 @@ def test_find_repeats(spark, reference):
     assert history.find_repeats(df.limit(0), reference).count() == 0
 
 
+def test_incomplete_rows_join_what_lies_nearer(spark, reference):
+    schema = "id long, batch int, name string, title string, place string, hint string, link string, source string"
+    t = "Data Engineer Intern, Maps Core"
+    rows = [(i, i // 10, "Acme Systems", t, p, "Fall 2026", None, None) for i, p in ((1, "Halcyville, TX"), (4, "Halcyville, TX"), (5, None), (60, "Mount Garnet, IL"), (63, "TBD"), (64, "Mount Garnet, IL"), (30, "various"))]
+    rows += [(70, 7, "Acme Systems", t, "Halcyville, TX; Mount Garnet, IL", "Fall 2026", None, None), (71, 7, "Acme Systems", t, "Mount Garnet, IL", None, None, None)]
+    got = sorted((r["first"], r.later) for r in history.find_repeats(spark.createDataFrame(rows, schema), reference).collect())
+    assert got == [(1, 4), (1, 5), (60, 63), (60, 64), (60, 70), (60, 71)]
+
+
 # --- 7
 def test_solver_against_a_grid():
     def cost(y, s, post, req, block):
