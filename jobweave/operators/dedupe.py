@@ -54,18 +54,31 @@ def merged_location(places: Column) -> Column:
     return F.when(F.size(d) <= 3, F.array_join(d, " · ")).otherwise(F.concat(F.array_join(F.slice(d, 1, 3), " · "), F.lit(" +"), (F.size(d) - 3).cast("string"), F.lit(" more")))
 
 
+def requisition_key(group: Column, ident: str) -> Column:
+    """The group of a row; a null one is a requisition of its own."""
+    return F.coalesce(group, F.concat(F.lit("alone:"), F.col(ident).cast("string")))
+
+
 def collapse(rows: DataFrame, group: Column, ident: str, order: list, location: str, display: list[str]) -> DataFrame:
-    """One row per requisition: the columns of its best row, the merged location, ``n_members`` and ``members`` (ids in order).
+    """One row per requisition: requisition, the ``display`` columns of its best row, merged_location, n_members. ``order`` ranks the members, ties by id.
 
-    A null group is a requisition of its own. ``order`` ranks the members, ties by id. A group's members are gathered in one row, as the result asks;
-    the places that are kept for the location are distinct.
+    Everything is partial aggregation: no group is gathered. Of a group only the distinct places come together, which are few however many rows it has.
     """
-    key = F.coalesce(group, F.concat(F.lit("alone:"), F.col(ident).cast("string")))
-    ranked = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.col(ident).alias("id"), F.col(location).alias("place"))
-    best = F.min_by(F.struct(*display), F.struct(*order, F.col(ident))).alias("d")
-    grouped = rows.groupBy(key.alias("requisition")).agg(best, F.array_sort(F.collect_list(ranked)).alias("m"))
-    members = F.transform("m", lambda x: x["id"])
-    return grouped.select("requisition", *[F.col(f"d.{c}").alias(c) for c in display], merged_location(F.transform("m", lambda x: x["place"])).alias("merged_location"), F.size("m").alias("n_members"), members.alias("members"))
+    keyed = rows.withColumn("requisition", requisition_key(group, ident))
+    rank = F.struct(*order, F.col(ident))
+    best = keyed.groupBy("requisition").agg(F.min_by(F.struct(*display), rank).alias("d"), F.count("*").cast("int").alias("n_members"))
+    places = keyed.where(F.col(location) != "").groupBy("requisition", F.col(location).alias("place")).agg(F.min(rank).alias("rank"))
+    named = places.groupBy("requisition").agg(F.array_sort(F.collect_list(F.struct("rank", "place"))).alias("ps"))
+    place = F.coalesce(merged_location(F.transform("ps", lambda x: x["place"])), F.lit(""))
+    return best.join(named, "requisition", "left").select("requisition", *[F.col(f"d.{c}").alias(c) for c in display], place.alias("merged_location"), "n_members")
+
+
+def members(rows: DataFrame, group: Column, ident: str, order: list, kept: DataFrame | None = None) -> DataFrame:
+    """requisition, id, member_no (0 is the one displayed) of the rows of the ``kept`` requisitions, or of all. A large group is sorted on disk, never held."""
+    keyed = rows.withColumn("requisition", requisition_key(group, ident))
+    keyed = keyed.join(kept.select("requisition"), "requisition", "left_semi") if kept is not None else keyed
+    w = W.Window.partitionBy("requisition").orderBy(*order, ident)
+    return keyed.select("requisition", F.col(ident).alias("id"), (F.row_number().over(w) - 1).alias("member_no"))
 
 
 class Order:
@@ -96,8 +109,3 @@ def fair_top(rows: DataFrame, company: str, order: list[Order], limit: int) -> D
 def cap_groups(groups: DataFrame, key: str, company: str, order: list[Order], limit: int) -> DataFrame:
     """The groups that a fair cap keeps; all of them if there are no more than ``limit``. The limit may be 0."""
     return groups.join(fair_top(groups, company, order, limit).select(key), key, "left_semi")
-
-
-def expand_members(groups: DataFrame) -> DataFrame:
-    """The rows of a batch: every member of the kept groups, and whether it is the one displayed."""
-    return groups.select("requisition", F.posexplode("members").alias("member_no", "id")).withColumn("displayed", F.col("member_no") == 0)

@@ -149,9 +149,12 @@ def confirm_batch(store: SnapshotStore, batch_key: str, now: str) -> int:
     return n
 
 
-def restore_sent(jobs: DataFrame, batches: DataFrame) -> DataFrame:
-    """Jobs with ``sent_at`` filled from the latest sent batch that holds them."""
-    sent = batches.where("status = 'SENT'").select(F.explode("job_ids").alias("id"), F.col("sent_at").alias("_sent")).groupBy("id").agg(F.max("_sent").alias("_sent"))
+def restore_sent(jobs: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """Jobs with ``sent_at`` filled from the latest sent batch that holds them. ``deliveries``: id, status, sent_at, one row per batch and job, or per batch
+    with an array ``job_ids``."""
+    if "job_ids" in deliveries.columns:
+        deliveries = deliveries.select(F.explode("job_ids").alias("id"), "status", "sent_at")
+    sent = deliveries.where("status = 'SENT'").groupBy("id").agg(F.max("sent_at").alias("_sent"))
     return jobs.join(sent, "id", "left").withColumn("sent_at", F.coalesce("sent_at", "_sent")).drop("_sent")
 
 

@@ -198,13 +198,13 @@ def local_dedupe(spark: SparkSession, d: str) -> DataFrame:
 def collapse_requisitions(spark: SparkSession, d: str) -> DataFrame:
     j = _jobs(spark, d).withColumn("place", F.coalesce("normalized_location", F.lit("")))
     g = dedupe.collapse(j, F.col("requisition"), "job_id", [-F.coalesce("score", F.lit(0))], "place", ["job_id", "company", "title", "score", "normalized_company"])
-    return g.select("requisition", "job_id", "merged_location", "n_members", F.array_join("members", ",").alias("members"))
+    return g.select("requisition", "job_id", "merged_location", "n_members")
 
 
 COLLAPSE_SQL = f"""
 with g as (select coalesce(requisition, 'alone:' || job_id) requisition, job_id, coalesce(score, 0) s, coalesce(normalized_location, '') place from {_JOBS}),
 p as (select requisition, place, min((-s, job_id)) o from g where place <> '' group by 1, 2), l as (select requisition, list(place order by o) ps from p group by 1)
-select requisition, first(job_id order by s desc, job_id) job_id, coalesce(any_value(case when len(ps) <= 3 then array_to_string(ps, ' · ') else array_to_string(ps[1:3], ' · ') || ' +' || (len(ps) - 3) || ' more' end), '') merged_location, count(*)::int n_members, string_agg(job_id::varchar, ',' order by s desc, job_id) members
+select requisition, first(job_id order by s desc, job_id) job_id, coalesce(any_value(case when len(ps) <= 3 then array_to_string(ps, ' · ') else array_to_string(ps[1:3], ' · ') || ' +' || (len(ps) - 3) || ' more' end), '') merged_location, count(*)::int n_members
 from g left join l using (requisition) group by 1
 """
 
@@ -225,8 +225,10 @@ select job_id, normalized_company, row_number() over (order by rnd, ts desc, tj,
 def capped_batch(spark: SparkSession, d: str) -> DataFrame:
     """All members of the requisitions that a fair cap of 100 keeps."""
     j = _jobs(spark, d).withColumn("place", F.coalesce("normalized_location", F.lit("")))
-    g = dedupe.collapse(j, F.col("requisition"), "job_id", [-F.coalesce("score", F.lit(0))], "place", ["job_id", "score", "normalized_company"])
-    return dedupe.expand_members(dedupe.cap_groups(g, "requisition", "normalized_company", _fair(), 100)).select(F.col("id").alias("job_id"), "member_no", "displayed")
+    order = [-F.coalesce("score", F.lit(0))]
+    g = dedupe.collapse(j, F.col("requisition"), "job_id", order, "place", ["job_id", "score", "normalized_company"])
+    kept = dedupe.cap_groups(g, "requisition", "normalized_company", _fair(), 100)
+    return dedupe.members(j, F.col("requisition"), "job_id", order, kept).select(F.col("id").alias("job_id"), "member_no", (F.col("member_no") == 0).alias("displayed"))
 
 
 CAPPED_SQL = f"""
@@ -243,8 +245,10 @@ def digest_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_keys(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "classified_jobs").groupBy("batch_no").agg(F.collect_list(F.col("job_id").cast("string")).alias("ids"), F.max("accepted_at").alias("at"))
-    return b.select("batch_no", identity.batch_key(F.col("ids"), F.col("at")).alias("batch_key"), F.size("ids").alias("n_jobs"))
+    """The key of the digest that a fair cap of 100 makes."""
+    top = dedupe.fair_top(table(spark, d, "classified_jobs"), "normalized_company", _fair(), 100)
+    b = top.agg(F.collect_list(F.col("job_id").cast("string")).alias("ids"), F.max("accepted_at").alias("at"))
+    return b.select(identity.batch_key(F.col("ids"), F.col("at")).alias("batch_key"), F.size("ids").alias("n_jobs"))
 
 
 # --- state -------------------------------------------------------------------------------------------------------------------------------------------
@@ -353,9 +357,11 @@ def filled_forward(spark: SparkSession, d: str) -> DataFrame:
 
 
 def restored_sent(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "classified_jobs").groupBy("batch_no").agg(F.collect_list("job_id").alias("job_ids"), F.max("accepted_at").alias("sent_at")).withColumn("status", F.when(F.col("batch_no") % 2 == 0, "SENT").otherwise("CLAIMED"))
-    j = table(spark, d, "classified_jobs").select(F.col("job_id").alias("id"), F.lit(None).cast("timestamp").alias("sent_at"))
-    return state.restore_sent(j, b)
+    """Jobs as sent when the last row of their batch was accepted, if the batch is one of those that were sent (here every second one)."""
+    j = table(spark, d, "classified_jobs")
+    at = j.groupBy("batch_no").agg(F.max("accepted_at").alias("sent_at"))
+    deliveries = j.select(F.col("job_id").alias("id"), "batch_no").join(at, "batch_no").select("id", F.when(F.col("batch_no") % 2 == 0, "SENT").otherwise("CLAIMED").alias("status"), "sent_at")
+    return state.restore_sent(j.select(F.col("job_id").alias("id"), F.lit(None).cast("timestamp").alias("sent_at")), deliveries)
 
 
 COHORT_SQL = """
@@ -392,7 +398,7 @@ SQL = {
     "latest_source_row": "select source_name, trim(source_job_id) source_job_id, arg_max(posting_id, (ingested_at, posting_id)) posting_id, arg_max({'t': title}, (ingested_at, posting_id)).t title, max(ingested_at) ingested_at from raw_postings where trim(source_job_id) <> '' group by 1, 2",
     "collapse_requisitions": COLLAPSE_SQL, "fair_top": FAIR_SQL, "capped_batch": CAPPED_SQL,
     "digest_sections": "select list_position(['board', 'aggregator', 'list', 'mirror'], kind)::bigint section_no, kind section, count(*) n, count(distinct normalized_company) n_companies from classified_jobs join source_profiles using (source_name) group by 1, 2",
-    "batch_keys": "select batch_no, strftime(max(accepted_at) at time zone 'UTC', '%Y-%m-%dT%H') || ':' || left(sha256(string_agg(job_id::varchar, '|' order by job_id::varchar)), 24) batch_key, count(*)::int n_jobs from classified_jobs group by 1",
+    "batch_keys": f"with t as ({FAIR_SQL}), k as (select job_id::varchar i, accepted_at a from classified_jobs where job_id in (select job_id from t)) select strftime(max(a) at time zone 'UTC', '%Y-%m-%dT%H') || ':' || left(sha256(string_agg(i, '|' order by i)), 24) batch_key, count(*)::int n_jobs from k",
     "merged_state": MERGE_SQL,
     "stale_closed": "with s as (select c.job_id, accepted_at a, ingested_at i from classified_jobs c left join raw_postings using (posting_id)), t as (select a < timestamptz '2026-10-01 00:00:00+00' - interval 72 hour and not coalesce(i >= timestamptz '2026-10-01 00:00:00+00' - interval 72 hour, false) x from s) select case when x then 'CLOSED' else 'OPEN' end status, count(*) n, max(case when x then timestamptz '2026-10-01 00:00:00+00' end) closed_at from t group by 1",
     "merged_sources": SOURCES_SQL,

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from jobweave.operators.dedupe import Order, alternative_keys, cap_groups, collapse, distinct_first, expand_members, fair_top, greedy_dedupe, merged_location
+from jobweave.operators.dedupe import Order, alternative_keys, cap_groups, collapse, distinct_first, fair_top, greedy_dedupe, members, merged_location
 
 
 def sequential(rows):
@@ -62,9 +62,11 @@ def test_collapse_cap_and_conservation(spark):
     rows = [(1, "g", 5, "New York, NY"), (2, "g", 9, "Dallas, TX"), (3, None, 1, "X"), (4, "g", 9, "New York, NY"), (5, None, 1, None)]
     df = spark.createDataFrame(rows, "id int, g string, score int, place string").withColumn("company", F.col("id").cast("string"))
     g = collapse(df, F.col("g"), "id", [-F.col("score")], "place", ["id", "score", "company"])
-    got = {r.requisition: (r.id, r.merged_location, r.members) for r in g.collect()}
-    assert got == {"g": (2, "Dallas, TX · New York, NY", [2, 4, 1]), "alone:3": (3, "X", [3]), "alone:5": (5, "", [5])}
-    assert expand_members(g).count() == len(rows)
+    got = {r.requisition: (r.id, r.merged_location, r.n_members) for r in g.collect()}
+    assert got == {"g": (2, "Dallas, TX · New York, NY", 3), "alone:3": (3, "X", 1), "alone:5": (5, "", 1)}
+    every = members(df, F.col("g"), "id", [-F.col("score")])
+    assert every.count() == len(rows) and [r.id for r in every.where("requisition = 'g'").orderBy("member_no").collect()] == [2, 4, 1]
+    assert members(df, F.col("g"), "id", [-F.col("score")], g.where("id = 3")).count() == 1
     assert [r.requisition for r in cap_groups(g, "requisition", "company", [Order(F.col("score"), True)], 1).collect()] == ["g"]
     assert cap_groups(g, "requisition", "company", [Order(F.col("score"), True)], 0).count() == 0
 
