@@ -24,9 +24,8 @@ def totals(rows: DataFrame, reason: str, kept: str) -> DataFrame:
 
 def coverage(seen: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """One row: wanted, found, percent (rounded; 0 of an empty list)."""
-    w = wanted.select(key).distinct()
-    found = w.join(seen.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("found"))
-    return w.agg(F.count("*").alias("wanted")).crossJoin(found).select("wanted", "found", F.when(F.col("wanted") == 0, 0).otherwise(F.round(100 * F.col("found") / F.col("wanted"))).cast("int").alias("percent"))
+    hit = wanted.select(key).distinct().join(seen.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")
+    return hit.agg(F.count("*").alias("wanted"), F.count("_seen").alias("found")).select("wanted", "found", F.when(F.col("wanted") == 0, 0).otherwise(F.round(100 * F.col("found") / F.col("wanted"))).cast("int").alias("percent"))
 
 
 def silent_sources(runs: DataFrame, now: Column, hours: int = 48) -> DataFrame:
