@@ -20,7 +20,7 @@ FORMS = {
 ROLE_WORDS = "backend banking data devops embedded equity frontend fullstack learning machine private site treasury wealth design designer marketing sales legal accounting audit tax risk".split()
 #: Words of a title that tell nothing about role or team.
 NOISE = (
-    "intern interns internship internships student students coop co-op trainee placement program programme hiring now new paid urgent job jobs position role opportunity class of the a an and for in at "
+    "intern interns internship internships student students coop co-op trainee placement program programme hiring now new paid urgent job jobs position role opportunity class of fo the a an and for in at "
     "year term semester quarter summer fall autumn spring winter later compatible season open apply us usa end graduate undergrad undergraduate"
 ).split()
 SEASONS = {"summer": "Summer", "fall": "Fall", "autumn": "Fall", "spring": "Spring", "winter": "Winter"}
@@ -131,7 +131,7 @@ class Titles:
         """(the season that a word spells, or misspells, or ''; whether it is spelt right)."""
         if w in SEASONS:
             return SEASONS[w], True
-        if w in self.to:
+        if w in self.to or (self.places and w in self.places.city_words):
             return "", False
         if w in ("flal", "fll", "afll", "falll"):
             return "Fall", False
