@@ -56,22 +56,25 @@ def normalise_instants(rows: DataFrame, fields: list[str], anchor: str, zone: st
     """One row per row of ``rows`` and field whose text denotes an instant: ``keep`` + field_name + instant_us.
 
     ``anchor`` is the field from which an age counts back. Null, blank and meaningless texts (``Rolling``, ``N/A``, impossible dates)
-    give no row. Repeated rows give repeated results; nothing is dropped. Of two columns in ``rows`` with clashing names only the named ones
-    are read, so extra columns do no harm. An empty table gives an empty result. An age whose anchor cannot be read gives no row.
+    give no row. Repeated rows give repeated results; nothing is dropped. Only the named columns are read and the operator's own begin with ``_``, so columns called
+    ``zone`` or ``value`` do no harm; ``keep`` may hold any but ``field_name`` and ``instant_us``. An empty table gives an empty result. An age whose anchor cannot be read gives no row.
 
     The texts cross the network twice (to be made distinct and to be joined), never as whole rows; the joins are left to adaptive
     execution, which splits a text that a third of all rows share.
     """
     dictionary = dictionary or InstantDictionary(rows.sparkSession)
-    base = rows.select(*[F.col(k) for k in keep], F.coalesce(F.col(zone), F.lit("")).alias("zone"), F.coalesce(F.col(date_order), F.lit("")).alias("date_order"), F.col(anchor).alias("_anchor"), *[F.col(f).alias(f"_f{k}") for k, f in enumerate(fields)])
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"_f{k}").alias("value")) for k, f in enumerate(fields)])).alias("p")
-    long = base.select(*keep, "zone", "date_order", "_anchor", pairs).select(*keep, "zone", "date_order", "p.field_name", "p.value", F.when(looks_like_age(F.col("p.value")), F.col("_anchor")).alias("_anchor"))
-    long = long.where(F.col("value").rlike("[0-9]") | F.col("_anchor").isNotNull())
-    dictionary.update(long.select(*KEYS).union(base.where(~F.lit(anchor in fields)).select(F.col("_anchor").alias("value"), "zone", "date_order")))
-    known = dictionary.read()
-    absolute = known.where("instant_us is not null").select(*KEYS, "instant_us")
-    plain = long.where("_anchor is null").join(absolute, KEYS).select(*keep, "field_name", "instant_us")
-    ages = long.where("_anchor is not null").join(known.where("age_us is not null").select(*KEYS, "age_us"), KEYS)
-    back = absolute.withColumnsRenamed({"value": "_anchor", "instant_us": "_base"})
-    aged = ages.join(back, ["_anchor", "zone", "date_order"]).select(*keep, "field_name", (F.col("_base") - F.col("age_us")).alias("instant_us"))
-    return plain.unionByName(aged)
+    base = rows.select(*[F.col(k) for k in keep], F.coalesce(F.col(zone), F.lit("")).alias("_zone"), F.coalesce(F.col(date_order), F.lit("")).alias("_date_order"), F.col(anchor).alias("_anchor"), *[F.col(f).alias(f"_f{k}") for k, f in enumerate(fields)])
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_f{k}").alias("value")) for k, f in enumerate(fields)])).alias("_p")
+    long = base.select(*keep, "_zone", "_date_order", "_anchor", pairs).select(*keep, "_zone", "_date_order", F.col("_p.field").alias("_field"), F.col("_p.value").alias("_value"), F.when(looks_like_age(F.col("_p.value")), F.col("_anchor")).alias("_anchor"))
+    long = long.where(F.col("_value").rlike("[0-9]") | F.col("_anchor").isNotNull())
+    to_keys = {"_value": "value", "_zone": "zone", "_date_order": "date_order"}
+    texts = long.select("_value", "_zone", "_date_order").unionByName(base.where(~F.lit(anchor in fields)).select(F.col("_anchor").alias("_value"), "_zone", "_date_order"))
+    dictionary.update(texts.withColumnsRenamed(to_keys))
+    known = dictionary.read().withColumnsRenamed({v: k for k, v in to_keys.items()} | {"instant_us": "_instant", "age_us": "_age"})
+    keys = list(to_keys)
+    absolute = known.where("_instant is not null").select(*keys, "_instant")
+    plain = long.where("_anchor is null").join(absolute, keys).select(*keep, "_field", "_instant")
+    ages = long.where("_anchor is not null").join(known.where("_age is not null").select(*keys, "_age"), keys)
+    back = absolute.withColumnsRenamed({"_value": "_anchor", "_instant": "_base"})
+    aged = ages.join(back, ["_anchor", "_zone", "_date_order"]).select(*keep, "_field", (F.col("_base") - F.col("_age")).alias("_instant"))
+    return plain.unionByName(aged).select(*keep, F.col("_field").alias("field_name"), F.col("_instant").alias("instant_us"))

@@ -77,6 +77,12 @@ def test_rows_ages_nulls_and_repeats(spark):
     assert _run(spark, []) == []
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "2026-03-04", None, "v", "z")], "zone long, s string, tz string, value string, date_order string").withColumn("tz", F.lit(NY)).withColumn("order", F.lit("MDY"))
+    out = normalise_instants(df, ["s"], "s", "tz", "order", ["zone", "value", "date_order"]).collect()
+    assert [tuple(r) for r in out] == [(1, "v", "z", "s", us(2026, 3, 4, tz=ZoneInfo(NY)))]
+
+
 def test_dictionary_is_kept_and_grows(spark, tmp_path):
     path = str(tmp_path / "instants")
     first = InstantDictionary(spark, path)
