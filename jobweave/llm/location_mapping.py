@@ -57,8 +57,8 @@ def map_locations(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """``rows`` (with a column ``value``) and the entry that each value names: + location_id, places.
 
     Null and blank values give no row; a value that names no entry, several, or fits several equally has -1. Repeated rows stay repeated. Very long
-    texts are read from their first 2,000 characters, far beyond any name. An empty reference maps everything to -1. Only ``value`` is read, so other
-    columns may have any names except those added. Values shared by many rows cost one reading; the join back is split by adaptive execution.
+    texts are read from their first 2,000 characters, far beyond any name. An empty reference maps everything to -1. Only ``value`` is read; columns of ``rows`` called
+    location_id or places are replaced. Values shared by many rows cost one reading; the join back is split by adaptive execution.
     """
-    filled = rows.where(F.trim("value") != "")
+    filled = rows.drop("location_id", "places").where(F.trim("value") != "")
     return filled.join(read_values(filled, reference), "value")

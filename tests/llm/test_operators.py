@@ -41,7 +41,7 @@ def test_components(spark):
 
 # --- 1
 def test_map_locations(spark, reference, monkeypatch):
-    rows = spark.createDataFrame([(1, "Halcyville, TX", "a"), (1, "Halcyville, TX", "a"), (2, None, None), (3, "  ", ""), (4, "x" * 30_000, None), (5, "Remote", "b"), (6, "nowhere", None)], "k int, value string, city string")
+    rows = spark.createDataFrame([(1, "Halcyville, TX", "a"), (1, "Halcyville, TX", "a"), (2, None, None), (3, "  ", ""), (4, "x" * 30_000, None), (5, "Remote", "b"), (6, "nowhere", None)], "k int, value string, city string").withColumn("location_id", F.lit("clash")).withColumn("places", F.lit(1))
     want = [(1, 1), (1, 1), (4, -1), (5, 100), (6, -1)]
     assert sorted((r.k, r.location_id) for r in location_mapping.map_locations(rows, reference).collect()) == want
     assert location_mapping.map_locations(rows.limit(0), reference).count() == 0
