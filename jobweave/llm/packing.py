@@ -72,7 +72,7 @@ def pack_documents(docs: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZER
         count = F.ceil(F.col("n_tokens") / capacity).cast("int")
         piece = F.explode(F.sequence(F.lit(0), count - 1)).alias("piece_no")
         cut = counted.where("n_tokens > 0").select("doc_id", "n_tokens", piece).select("doc_id", "piece_no", (F.col("piece_no") * F.lit(capacity)).cast("long").alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece_no") * F.lit(capacity)).alias("n_tokens"))
-        full = cut.where(F.col("n_tokens") == capacity).select(F.lit(name).alias("pack_name"), F.concat(F.lit("full-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece_no").cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("window_id"), "doc_id", "piece_no", "first_token", "n_tokens")
+        full = cut.where(F.col("n_tokens") == capacity).select(F.lit(name).alias("pack_name"), F.concat_ws("-", F.lit("full"), F.col("doc_id").cast("string"), F.col("piece_no").cast("string"), F.monotonically_increasing_id().cast("string")).alias("window_id"), "doc_id", "piece_no", "first_token", "n_tokens")
 
         rest = spread(cut.where(F.col("n_tokens") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(shards)).cast("int")), "shard")
         result = result.unionByName(full).unionByName(rest.groupBy("shard").applyInPandas(_packer(name, capacity), SCHEMA))

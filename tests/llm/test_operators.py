@@ -281,3 +281,16 @@ def test_text_statistics(spark):
     assert [x[:2] for x in want] == [(1, "prose"), (2, "junk"), (3, "junk"), (4, "table"), (5, "prose"), (5, "prose"), (6, "junk"), (7, "junk")]
     assert sorted((r.doc_id, r.kind, r.n_words) for r in text_quality.text_statistics(docs, words, chunk=3_000).collect()) == want
     assert text_quality.text_statistics(docs.limit(0), words).count() == 0
+
+
+def test_null_ids_and_batches(spark, reference):
+    t, place = "Data Engineer Intern, Maps Core - Fall 2026", "Halcyville, TX"
+    rows = spark.createDataFrame([(1, None, "Acme Systems", t, place, None, None, None), (None, 1, "Acme Systems", t, place, None, None, None), (2, 5, "Acme Systems", t, place, None, None, None)], "id long, batch int, name string, title string, place string, hint string, link string, source string")
+    assert [(r["first"], r.later) for r in history.find_repeats(rows, reference).collect()] == [(1, 2)]
+    side = rows.select("id", "name", "title", F.lit(None).cast("string").alias("team"), "place", "hint", "link")
+    assert {(r.left_id, r.right_id) for r in linkage.match_records(side, side, reference).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    docs = spark.createDataFrame([(None, "a short text"), (None, "word " * 40), (3, None)], "doc_id long, text string")
+    assert packing.pack_documents(docs, spark.createDataFrame([("w", 8)], "pack_name string, capacity_tokens int")).where("window_id is null or doc_id is not null").count() == 0
+    assert text_quality.text_statistics(docs, spark.createDataFrame([], "lang string, word string")).where("doc_id is null").count() == 2
+    names = spark.createDataFrame([(None,)], "name string")
+    assert name_variants.link_names(names).count() == 0
