@@ -36,20 +36,19 @@ def read_standard(titles: DataFrame) -> dict[str, int]:
 def read_postings(rows: DataFrame, standard: dict[str, int], reference: DataFrame) -> DataFrame:
     """``rows`` (key, title, team, place, hint) with signature, cycle, places: one pass without any shuffle.
 
-    Each task keeps what it has read, so a text that repeats costs one reading. The cycle is that of the title, else of ``hint``; places are those
+    Each task keeps what it has read, so a text that repeats costs one reading; only the four columns cross to Python. The cycle is that of the title, else of ``hint``; places are those
     of ``place``, else of the title. What is missing or says nothing is '' or an empty array.
     """
     places_rows = [tuple(r) for r in bounded(reference.select(*COLUMNS).where("location_id is not null").distinct(), SHARD_ROWS, "the list of places for reading titles")]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("title", "team", "place", "hint"))
-    keep = [f.name for f in rows.schema if f.name not in ("title", "team", "place", "hint")]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("signature string, cycle string, places array<int>")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         places = Places(sorted(places_rows))
         titles = Titles(standard, places)
         cache: dict[str, tuple] = {}
-        for b in batches:
+        for batch in batches:
             sig, cyc, loc = [], [], []
-            for title, team, place, hint in zip(b["title"], b["team"], b["place"], b["hint"]):
+            for title, team, place, hint in zip(*(b.tolist() for b in batch)):
                 title = title or ""
                 got = cache.get(title)
                 if got is None:
@@ -66,12 +65,11 @@ def read_postings(rows: DataFrame, standard: dict[str, int], reference: DataFram
                 q = places.read(place)[1]
                 sig.append(s)
                 cyc.append(c)
-                loc.append(list(q or p))
-            out = b[keep].copy()
-            out["signature"], out["cycle"], out["places"] = sig, cyc, loc
-            yield out
+                loc.append(q or p)
+            yield pd.DataFrame({"signature": sig, "cycle": cyc, "places": loc})
 
-    return rows.mapInPandas(read, f"{fields}, signature string, cycle string, places array<int>")
+    keep = [c for c in rows.columns if c not in ("title", "team", "place", "hint")]
+    return rows.select(*keep, read("title", "team", "place", "hint").alias("_r")).select(*keep, "_r.signature", "_r.cycle", "_r.places")
 
 
 def entities(names: DataFrame, aliases: DataFrame | None) -> DataFrame:
