@@ -53,30 +53,61 @@ _CELL = re.compile(r"\t|\s*\|+\s*|;|\s{3,}")
 _PAIR = re.compile(r"^[^\W\d_][\w ]{0,24}:\s+\S")
 
 
+def _cells(text: str) -> int:
+    return sum(1 for c in _CELL.split(text) if c)
+
+
+def _pieces(text: str) -> int:
+    return sum(1 for x in _PIECE.split(text) if x.strip())
+
+
 class Line(NamedTuple):
-    """A line, or a part of one: its text if short, else its two ends, and what was counted in all of it."""
+    """A line, or a part of one: its text if short, else its two ends, and what was counted in all of it.
+
+    ``cells`` and ``pieces`` are counted where the text itself is not kept; across a boundary they are corrected by what the two ends give joined. Only where all of an
+    end (2,000 characters) is separators can the correction be wrong, by one.
+    """
 
     start: str
     end: str
     words: int
     stops: int
     cells: int
+    pieces: int
 
     @staticmethod
     def of(raw: str) -> "Line":
         text = _TAG.sub(" ", raw)
-        ends = (raw, "") if len(raw) <= 2 * KEPT else (raw[:KEPT], raw[-KEPT:])
-        return Line(*ends, len(_WORD.findall(text)), len(_STOP.findall(text)), len(_CELL.findall(raw)))
+        long = len(raw) > 2 * KEPT
+        ends = (raw[:KEPT], raw[-KEPT:]) if long else (raw, "")
+        return Line(*ends, len(_WORD.findall(text)), len(_STOP.findall(text)), _cells(raw) if long else 0, _pieces(text) if long else 0)
+
+    def counted(self) -> tuple[int, int]:
+        """The cells and pieces of this part, as it stands."""
+        return (self.cells, self.pieces) if self.end else (_cells(self.start), _pieces(_TAG.sub(" ", self.start)))
+
+    def whole(self) -> tuple[int, int]:
+        """The cells and pieces of a whole line, without what is blank (or a bar, for cells) at either end."""
+        if not self.end:
+            return _cells(self.start.strip().strip("|").strip()), _pieces(_TAG.sub(" ", self.start.strip()).strip())
+        start, end = self.start.lstrip(), self.end.rstrip()
+        cells = self.cells - _cells(self.start) + _cells(start.lstrip("|").lstrip()) - _cells(self.end) + _cells(end.rstrip("|").rstrip())
+        a, b = _TAG.sub(" ", self.start), _TAG.sub(" ", self.end)
+        return cells, self.pieces - _pieces(a) + _pieces(a.lstrip()) - _pieces(b) + _pieces(b.rstrip())
 
     def then(self, other: "Line") -> "Line":
         """The line made of this part and the next."""
         left, right = self.end or self.start, other.start
         split_word = bool(left and right and left[-1].isalpha() and right[0].isalpha())
+        cells = pieces = 0
         if not self.end and not other.end and len(self.start) + len(right) <= 2 * KEPT:
             ends = (self.start + right, "")
         else:
             ends = ((self.start if self.end else self.start + right)[:KEPT], ((left if other.end == "" else "") + (other.end or right))[-KEPT:])
-        return Line(*ends, self.words + other.words - split_word, self.stops + other.stops, self.cells + other.cells)
+            (c, p), (d, q), tagless = self.counted(), other.counted(), _TAG.sub(" ", left + right)
+            cells = c + d + _cells(left + right) - _cells(left) - _cells(right)
+            pieces = p + q + _pieces(tagless) - _pieces(_TAG.sub(" ", left)) - _pieces(_TAG.sub(" ", right))
+        return Line(*ends, self.words + other.words - split_word, self.stops + other.stops, cells, pieces)
 
 
 def _add(counts: np.ndarray, line: Line) -> None:
@@ -88,8 +119,7 @@ def _add(counts: np.ndarray, line: Line) -> None:
     counts[_AT["lines"]] += 1
     ends = bool(_END.search(_TAG.sub(" ", line.end or text).rstrip()))
     counts[_AT["line_ends"]] += ends
-    cells = len([c for c in _CELL.split(bare.strip("|").strip()) if c]) if not line.end else line.cells + 1
-    pieces = len([x for x in _PIECE.split(text.strip()) if x.strip()]) if not line.end else 0
+    cells, pieces = line.whole()
     if cells >= 3 and (not stops or cells > 4) and words / cells < 9:
         counts[_AT["cell_lines"]] += 1
         counts[_AT["cell_words"]] += max(words, 1)

@@ -270,6 +270,25 @@ def test_chunks_merge_to_the_whole():
                 assert a[c] == pytest.approx(whole[c]), (c, size, text)
 
 
+@pytest.mark.parametrize("sep", [" › ", "  ", " · ", " / ", " 🚀 ", " | ", "; "])
+def test_a_list_on_one_line_is_one_at_any_length(sep):
+    item = "Go to the next one" + sep + "What is this?" + sep + "More in this group" + sep + "For all the rest" + sep
+    words = {"en": set("go to the next one what is this more in for all".split())}
+    want = None
+    for n in (3_900, 4_100, 30_000):
+        text = (item * (n // len(item) + 1))[:n].rsplit(" ", 1)[0]
+        whole = text_quality.finish(text_quality.count_chunk(text, words))
+        want = want or text_quality.kind(whole)
+        assert text_quality.kind(whole) == want != "prose" and whole["list_word_share"] + whole["cell_word_share"] == 1, (sep, n)
+        lines = [text_quality.Line.of(text)]
+        for size in (97, 1_500, 4_500):
+            parts, got = [text[k : k + size] for k in range(0, len(text), size)], None
+            for p in parts:
+                got = text_quality.Line.of(p) if got is None else got.then(text_quality.Line.of(p))
+            lines.append(got)
+        assert {x.whole() for x in lines} == {(len([c for c in text_quality._CELL.split(text.strip("|").strip()) if c]), len([c for c in text_quality._PIECE.split(text.strip()) if c.strip()]))}, (sep, n)
+
+
 def test_text_statistics(spark):
     rnd = random.Random(8)
     varied = "".join(" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(9)) + ", and of the sea.\n" for _ in range(1_500))
