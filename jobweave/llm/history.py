@@ -1,12 +1,14 @@
 """Deduplicating new batches against all history (problem 2).
 
-Every batch of descriptors gets an immutable suffix array over its concatenated text. A new batch looks up its substrings in the segments by binary search,
-adds up the matched stretches per earlier record, and only records that are covered far enough are checked exactly. Segments are merged logarithmically,
+Every batch of descriptors gets an immutable suffix array over its concatenated text. A new batch looks up its stretches (the words of the role, each with a tag of the
+rest) in the segments by binary search, and every record that can differ in no more than one stretch is checked exactly. Segments are merged logarithmically,
 so that a batch meets few of them and a record is sorted again only a logarithmic number of times.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,7 @@ from jobweave.session import write_shared
 
 #: Suffixes are sorted to this depth, which is also the longest substring that is looked up.
 DEPTH = 40
-#: Shares of a record that are looked up from either end, and the share that the matches must cover. Two records that differ in one stretch share one of the ends.
-END_SHARE, COVERED = 0.45, 0.40
+_STRETCH = re.compile(rb"[^|]+\|?")
 #: A row that fits several postings is taken for the one whose rows it lies this many times nearer to (in order of acceptance), else for none.
 NEARER = 3
 #: Descriptors per shard; each shard is a task's working set.
@@ -62,25 +63,28 @@ class History:
             self.segments.append(Segment(a.texts + b.texts, a.records + b.records))
 
     def covered(self, texts: list[bytes]) -> Iterator[tuple[int, int, float]]:
-        """(position of the text, record, share of the text covered by matches) of every record that shares an end of a text."""
-        ends = [(t[: min(DEPTH, max(8, int(len(t) * END_SHARE)))], t[-min(DEPTH, max(8, int(len(t) * END_SHARE))) :]) for t in texts]
+        """(position of the text, record, share of the text covered by matches), by position, of every record that lacks at most one of the text's stretches.
+
+        Such a record has one of any two stretches, so the two that the fewest suffixes begin with are enough; other records that have one of them come too.
+        """
+        stretches = [sorted(set(_STRETCH.findall(t))) for t in texts]
+        patterns = [x[:DEPTH] for own in stretches for x in own]
         for s in self.segments:
-            matched: dict[tuple[int, int], int] = {}
-            for side in (0, 1):
-                patterns = [e[side] for e in ends]
-                low, high = s.find(patterns)
-                for k, (i, j) in enumerate(zip(low, high)):
-                    for o in set(s.owner[i:j].tolist()):
-                        matched[k, o] = matched.get((k, o), 0) + len(patterns[k])
-            for (k, o), n in matched.items():
-                yield k, s.records[o], min(1.0, n / max(1, len(texts[k])))
+            low, high = s.find(patterns)
+            at = 0
+            for k, own in enumerate(stretches):
+                ranges = sorted(zip((high - low)[at : at + len(own)].tolist(), low[at : at + len(own)].tolist()))[:2]
+                at += len(own)
+                for o in sorted({o for n, i in ranges for o in s.owner[i : i + n].tolist()}):
+                    found = sum(len(x) for x in own if x in s.texts[o])
+                    yield k, s.records[o], min(1.0, max(1, found) / max(1, len(texts[k])))
 
 
 def _text(row: tuple) -> bytes:
-    """The parts in an order in which either end holds something of the role and something of the rest."""
-    words = row.signature.split()
-    half = (len(words) + 1) // 2
-    return "|".join([" ".join(words[:half]), row.entity, " ".join(words[half:]), row.cycle, row.place]).encode("ascii", "replace")
+    """The words of the role as stretches, each after a tag of employer, cycle and place; a role of one word has a second stretch, so that it meets the others of one word."""
+    tag = f"{zlib.crc32(repr((row.entity, row.cycle, row.place)).encode()):08x}"
+    words = sorted(set(row.signature.split()) - {"analyst"})
+    return "".join(f"{tag} {w}|" for w in (words if len(words) > 1 else [*words, "#"])).encode("ascii", "replace")
 
 
 def same_role(a: str, b: str, standard: set[str]) -> bool:
@@ -157,9 +161,9 @@ def find_repeats(rows: DataFrame, reference: DataFrame, aliases: DataFrame | Non
             fresh = History()
             fresh.add(texts, at)
             for source in (history, fresh):
-                for k, record, share in source.covered(texts):
+                for k, record, _ in source.covered(texts):
                     me, other = records[at[k]], records[record]
-                    if record < at[k] and share >= COVERED and me.entity == other.entity and me.cycle == other.cycle and me.place == other.place and same_role(me.signature, other.signature, words):
+                    if record < at[k] and me.entity == other.entity and me.cycle == other.cycle and me.place == other.place and same_role(me.signature, other.signature, words):
                         first[at[k]] = min(first[at[k]], first[record])
             history.add(texts, at)
         return pdf[keys].assign(first=[int(records[k].id) for k in first])

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import defaultdict, namedtuple
 from datetime import datetime
 
 import numpy as np
@@ -91,6 +91,34 @@ def test_segments_find_every_match():
     assert {(k, r) for k, r, _ in h.covered(texts)} >= {(k, k) for k in range(40)}
 
 
+def test_candidates_against_brute_force():
+    Row = namedtuple("Row", "entity signature cycle place")
+    rnd, letters = random.Random(7), "abcdefghijklmnopqrstuvwxyz"
+    known = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(4, 12))) for _ in range(25)] + ["analyst", "w" * 60]
+
+    def slip(w):
+        k = rnd.choice([0, 0, rnd.randrange(len(w))])
+        return w[:k] + rnd.choice(letters) + w[k + 1 :]
+
+    rows = set()
+    for _ in range(150):
+        words = rnd.sample(known, rnd.choice([1, 2, 3, 5, 14]))
+        entity, cycle, place = rnd.choice(["acme", "b", "a very long name of an employer with many words"]), rnd.choice(["Fall 2026", "?"]), rnd.choice(["1", "?"])
+        for some in (words, [slip(words[0]), *words[1:]], [*words[:-1], slip(words[-1])]):
+            rows.add(Row(entity, " ".join(sorted(set(some))), cycle, place))
+    rows = sorted(rows, key=lambda r: rnd.random())
+    standard = set(known)
+    agree = lambda a, b: a[0] == b[0] and a[2:] == b[2:] and history.same_role(a.signature, b.signature, standard)
+    want = {(k, j) for k in range(len(rows)) for j in range(k) if agree(rows[k], rows[j])}
+    assert any(len(history._text(rows[k])) > 100 for k, _ in want) and any(rows[k].signature.split()[0][0] != rows[j].signature.split()[0][0] for k, j in want)
+    h, got = history.History(), set()
+    for at in range(0, len(rows), 20):
+        part = rows[at : at + 20]
+        h.add([history._text(r) for r in part], list(range(at, at + len(part))))
+        got |= {(at + k, j) for k, j, _ in h.covered([history._text(r) for r in part]) if j < at + k and agree(rows[at + k], rows[j])}
+    assert got == want and len(want) > 100
+
+
 def test_find_repeats(spark, reference):
     schema = "id long, batch int, name string, title string, place string, hint string, link string, source string, entity string"
     u = "https://boards.example/acme/jobs/1234567"
