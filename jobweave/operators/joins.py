@@ -93,18 +93,29 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str], columns:
 def first_listing_match(listings: DataFrame, postings: DataFrame) -> DataFrame:
     """listing_id, posting_id: the first posting (by ordinal) whose employer's name contains or is contained in the listing's and whose title tells the same role.
 
-    Both have name and title. Rows are reduced to distinct (name, set of meaningful words, early career or not) before they meet in blocks of a word of the
-    name, so that what is compared grows with the wordings and not with the rows. Rows without a name or a title match nothing.
+    Both have name and title. Rows are reduced to distinct (name, set of meaningful words, early career or not), and the distinct names meet first: equal ones, and
+    each with those that hold its first three characters anywhere, across word borders too. Rows without a name or a title match nothing.
     """
     def reduced(rows: DataFrame, ident: str, best: Column, side: str) -> DataFrame:
         keys = [normalize_text(F.col("name")).alias(f"{side}name"), F.array_sort(identity_words(normalize_text(F.col("title")))).alias(f"{side}words"), F.col("title").rlike(EARLY).alias("early")]
         out = rows.where("name is not null and title is not null").select(ident, *keys, *([best.alias("ordinal")] if side == "p" else []))
-        out = out.groupBy(f"{side}name", "pwords", "early").agg(F.min(F.struct("ordinal", ident)).alias("best")) if side == "p" else out
-        return out.withColumn("block", F.explode(F.array_distinct(F.split(f"{side}name", " ")))).where("block <> ''")
+        return out.groupBy(f"{side}name", "pwords", "early").agg(F.min(F.struct("ordinal", ident)).alias("best")) if side == "p" else out
+
+    def starts(names: DataFrame, name: str) -> DataFrame:
+        return names.where(F.length(name) > 2).select(name, F.substring(name, 1, 3).alias("block"))
+
+    def grams(names: DataFrame, name: str) -> DataFrame:
+        every = F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda k: F.substring(F.col(name), k, F.lit(3)))
+        return names.where(F.length(name) > 2).select(name, F.explode(F.array_distinct(every)).alias("block"))
 
     left = reduced(listings, "listing_id", F.lit(0), "l")
-    asked = left.select("block", "lname", "lwords", "early").distinct()
+    asked = left.select("lname", "lwords", "early").distinct()
     right = reduced(postings, "posting_id", F.col("ordinal"), "p")
-    met = asked.join(right, ["block", "early"]).where(same_employer(F.col("lname"), F.col("pname")) & words_describe_same_role(F.col("lwords"), F.col("pwords")))
+    mine, theirs = asked.select("lname").where("lname <> ''").distinct(), right.select("pname").where("pname <> ''").distinct()
+    equal = mine.join(theirs, F.col("lname") == F.col("pname"))
+    held = starts(mine, "lname").join(grams(theirs, "pname"), "block").select("lname", "pname")
+    holding = grams(mine, "lname").join(starts(theirs, "pname"), "block").select("lname", "pname")
+    names = equal.unionByName(held).unionByName(holding).where(same_employer(F.col("lname"), F.col("pname"))).distinct()
+    met = asked.join(names, "lname").join(right, ["pname", "early"]).where(words_describe_same_role(F.col("lwords"), F.col("pwords")))
     found = met.groupBy("lname", "lwords", "early").agg(F.min("best").alias("best"))
     return left.select("listing_id", "lname", "lwords", "early").distinct().join(found, ["lname", "lwords", "early"]).select("listing_id", F.col("best.posting_id").alias("posting_id"))

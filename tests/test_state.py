@@ -3,6 +3,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from jobweave.functions import identity
+from jobweave.functions.text import normalize_text
 from jobweave.operators import joins, metrics, sinks, state
 from jobweave.schema import JOB_STATE
 
@@ -104,3 +106,17 @@ def test_metrics_and_sinks(spark):
     p = sinks.ledger_payload(spark.createDataFrame([("1", "Title", "nope", 3)], "id string, t string, s string, n int"), {"Name": ("title", "t"), "Kind": ("select", "s"), "N": ("number", "n")}, {"Kind": ["yes"]}).first().payload
     assert p == '{"properties":{"Name":{"title":[{"text":{"content":"Title"}}]},"N":{"number":3}}}'
     assert sorted(r.v for r in sinks.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string"), "k").collect()) == ["a", "c"]
+
+
+def test_listing_match_against_brute_force(spark):
+    names = ["Tujurafu", "tujurafu.example", "Acme", "AcmeSystems", "Acme Systems", "me sys", "cm", "Cm", "the acme systems of old", "Beta Bank", "betabank", "  ", "???", None]
+    titles = ["Software Engineer Intern, Storage", "Storage Software Engineer Internship", "Data Analyst", None]
+    listings = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate((n, t) for n in names for t in titles)], "listing_id int, name string, title string")
+    postings = spark.createDataFrame([(100 + k, n, t, (k * 37) % 101) for k, (t, n) in enumerate((t, n) for t in titles for n in names[::-1])], "posting_id int, name string, title string, ordinal int")
+    pairs = listings.alias("l").crossJoin(postings.alias("p"))
+    plain = lambda c: normalize_text(F.col(c))
+    pairs = pairs.where(identity.same_employer(plain("l.name"), plain("p.name")) & identity.describes_same_role(F.col("l.title"), F.col("p.title")))
+    want = {r.listing_id: r.posting_id for r in pairs.groupBy("listing_id").agg(F.min_by("posting_id", "ordinal").alias("posting_id")).collect()}
+    assert {r.listing_id: r.posting_id for r in joins.first_listing_match(listings, postings).collect()} == want
+    alone = joins.first_listing_match(listings.where("name = 'Tujurafu'"), postings.where("name = 'tujurafu.example'"))
+    assert alone.count() == 3 and joins.first_listing_match(listings.limit(0), postings).count() == 0
