@@ -8,10 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A broadcast side may hold at most this many rows; every caller has another way beyond it.
-MAX_BROADCAST_ROWS = 200_000
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read, from ``spark.checkpoint.dir``.
 
@@ -36,6 +32,46 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any folder that Spark can read, or None if there is none."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, once: bool = False) -> None:
+    """Write a small text file in one step; with ``once`` it is an error if it exists."""
+    fs, p = _file(spark, path)
+    stream = fs.create(p, not once)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or a folder, if it is there."""
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the written table that ``df`` reads, once nothing needs it any more."""
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if folder.startswith((shared_dir(df.sparkSession), f"file://{shared_dir(df.sparkSession)}")):
+            remove(df.sparkSession, folder)
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, whatever folder they were started in."""
     root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
