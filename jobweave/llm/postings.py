@@ -13,7 +13,8 @@ from jobweave.llm.consensus import usable_url
 from jobweave.llm.location_mapping import COLUMNS, SHARD_ROWS
 from jobweave.llm.name_variants import link_names
 from jobweave.llm.places import Places
-from jobweave.llm.titles import NOISE, STANDARD_SHARE, Titles, standard_tokens
+from jobweave.llm.titles import STANDARD_SHARE, Titles, standard_tokens
+from jobweave.session import write_shared
 
 #: Of the standard spellings there are at most 1/STANDARD_SHARE times the words of a title; more than this is an error.
 MAX_STANDARD = 50_000
@@ -25,12 +26,24 @@ def link_key(url: Column) -> Column:
     return F.when(usable_url(F.trim(url)), F.regexp_replace(F.regexp_replace(bare, r"^https?://(?:www\.)?", ""), r"/apply$", ""))
 
 
-def read_standard(titles: DataFrame) -> dict[str, int]:
-    """Tokens that count as correctly spelt, from the counts over all titles (column ``title``)."""
+def count_tokens(titles: DataFrame, before: DataFrame | None = None, n: int = 0) -> tuple[DataFrame, int]:
+    """(t, count of the tokens of all titles, in the column ``title``; number of titles), with the counts of earlier calls added."""
     tokens = titles.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("([a-z]{3,})")))).alias("t"))
-    n = titles.where("title is not null").count()
-    counts = tokens.groupBy("t").count().where(F.col("count") >= max(3.0, STANDARD_SHARE * n))
-    return standard_tokens({r[0]: r[1] for r in bounded(counts, MAX_STANDARD, "the list of standard spellings")}, n)
+    counts = tokens.groupBy("t").agg(F.count("*").alias("count"))
+    if before is not None:
+        counts = counts.unionByName(before).groupBy("t").agg(F.sum("count").alias("count"))
+    return counts, n + titles.where("title is not null").count()
+
+
+def standard_list(counts: DataFrame, n: int) -> dict[str, int]:
+    """Tokens that count as correctly spelt, from the counts over all titles."""
+    often = counts.where(F.col("count") >= max(3.0, STANDARD_SHARE * n))
+    return standard_tokens({r[0]: r[1] for r in bounded(often.select("t", "count"), MAX_STANDARD, "the list of standard spellings")}, n)
+
+
+def read_standard(titles: DataFrame) -> dict[str, int]:
+    """Tokens that count as correctly spelt of one set of titles."""
+    return standard_list(*count_tokens(titles))
 
 
 def read_postings(rows: DataFrame, standard: dict[str, int], reference: DataFrame) -> DataFrame:
@@ -77,4 +90,19 @@ def entities(names: DataFrame, aliases: DataFrame | None) -> DataFrame:
     return link_names(names, aliases)
 
 
-__all__ = ["NOISE", "entities", "link_key", "read_postings", "read_standard"]
+def add_entities(names: DataFrame, aliases: DataFrame | None, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(name, entity of ``names``; those not in ``known``, the dictionary so far). A new name that links to known ones gets their entity; what is known never changes.
+
+    The dictionary holds distinct names, not rows; the names are linked anew with it only when there are new ones.
+    """
+    distinct = names.select("name").where(F.trim("name") != "").distinct()
+    if known is None:
+        linked = write_shared(link_names(distinct, aliases), "entities")
+        return linked, linked
+    fresh = write_shared(distinct.join(known, "name", "left_anti"), "new-names")
+    if fresh.isEmpty():
+        return distinct.join(known, "name"), known.limit(0)
+    linked = write_shared(link_names(known.select("name").unionByName(fresh), aliases).withColumnRenamed("entity", "cluster"), "entities")
+    held = linked.join(known, "name").groupBy("cluster").agg(F.min("entity").alias("entity"))
+    added = write_shared(linked.join(fresh, "name", "left_semi").join(held, "cluster", "left").select("name", F.coalesce("entity", "cluster").alias("entity")), "new-entities")
+    return distinct.join(known.unionByName(added), "name"), added
