@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from jobweave.llm.common import spread
 from jobweave.llm.postings import add_entities, count_tokens, link_key, read_postings, standard_list
 from jobweave.llm.segments import History, Segment, SegmentStore, segments_of
 from jobweave.llm.strings import edits
@@ -264,6 +265,8 @@ def _own_text(r, several: bool) -> bytes:
 
 def _cogroup(new: DataFrame, stored: DataFrame | None, key: str, schema: str, task) -> DataFrame:
     """``task(new rows, stored segments)`` per group; ``stored`` has the groups' segments."""
+    # a number of partitions that adaptive execution keeps: the rows are few bytes, but costly
+    new = spread(new, key)
     if stored is None:
         return new.groupBy(key).applyInPandas(lambda pdf: task(pdf, []), schema)
     run = lambda pdf, seg: task(pdf, segments_of(seg)) if len(pdf) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
@@ -279,9 +282,9 @@ def _roles(kept: DataFrame, store: SegmentStore, standard: set[str]) -> DataFram
         return signatures.map(role_keys)
 
     roles = write_shared(kept.groupBy("entity", "signature").agg(F.min("id").alias("id"), F.min("batch").alias("batch")), "roles")
-    spread = roles.withColumn("shard", F.explode(F.array_distinct(F.transform(pairs("signature"), lambda k: F.pmod(F.xxhash64("entity", k), F.lit(n)).cast("int")))))
+    shared = roles.withColumn("shard", F.explode(F.array_distinct(F.transform(pairs("signature"), lambda k: F.pmod(F.xxhash64("entity", k), F.lit(n)).cast("int")))))
     stored = store.read("roles")
-    found = write_shared(_cogroup(spread, stored, "shard", "entity string, signature string, canonical string, canonical_id long", lambda pdf, old: match_roles(pdf, old, standard)), "role-matches")
+    found = write_shared(_cogroup(shared, stored, "shard", "entity string, signature string, canonical string, canonical_id long", lambda pdf, old: match_roles(pdf, old, standard)), "role-matches")
     best = found.groupBy("entity", "signature").agg(F.min("canonical_id").alias("first"), F.min_by("canonical", "canonical_id").alias("canonical"))
     known = write_shared(best, "canonical-roles")
 
@@ -289,7 +292,7 @@ def _roles(kept: DataFrame, store: SegmentStore, standard: set[str]) -> DataFram
         return Segment([role_text(e, s) for e, s in zip(pdf["entity"], pdf["signature"])], {c: pdf[c].tolist() for c in ("entity", "signature", "canonical", "first")})
 
     late = known.join(roles, ["entity", "signature"]).where(F.col("first") == F.col("id")).select("entity", "signature", "canonical", "first") if stored is not None else known
-    store.add("roles", late.join(spread.select("entity", "signature", "shard"), ["entity", "signature"]), build)
+    store.add("roles", late.join(shared.select("entity", "signature", "shard"), ["entity", "signature"]), build)
     return known.select("entity", "signature", "canonical")
 
 

@@ -54,7 +54,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_survivors(spark: SparkSession, folder: str) -> DataFrame:
-    return survivors(table(spark, folder, "merge_candidates"), table(spark, folder, "source_profiles"))
+    return survivors(table(spark, folder, "merge_candidates"), table(spark, folder, "source_profiles")).select("group_id", "field_name", "value", "copy_id", F.round("distance", 4).alias("distance"))
 
 
 def p7_matches(spark: SparkSession, folder: str) -> DataFrame:
