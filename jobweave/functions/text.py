@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+import string
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +17,33 @@ EDGE_LEFT, EDGE_RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
-def nfkc(value: Column) -> Column:
-    """Compatibility forms resolved (NFKC), in Python: neither the JVM's functions nor SQL have it."""
+@lru_cache(maxsize=1)
+def _compatible() -> tuple[str, str]:
+    """(JSON object: each character whose compatibility form, in lower case, holds what ``normalize_text`` keeps, with that form; pattern of letters that compose with the mark after them).
 
-    @F.pandas_udf("string")
-    def normal(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
-
-    return normal(value)
+    Both follow from the character database by rule: what becomes a blank with and without the forms needs no entry.
+    """
+    kept = re.compile("[a-z0-9+#.&;]")
+    forms = {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x1F000)]):
+        form = unicodedata.normalize("NFKC", c)
+        if form != c and kept.search(form.lower()):
+            forms[c] = form
+    pairs = []
+    for base in string.ascii_letters:
+        marks = "".join(m for m in map(chr, range(0x300, 0x370)) if unicodedata.normalize("NFC", base + m)[0] != base)
+        if marks:
+            pairs.append(f"{base}[{marks}]")
+    return json.dumps(forms, ensure_ascii=False), "|".join(pairs)
+
+
+def compatible(value: Column) -> Column:
+    """Compatibility forms (NFKC) resolved as far as they lead to characters that ``normalize_text`` keeps, in the JVM. ASCII text, which is nearly all, costs one look."""
+    forms, pairs = _compatible()
+    table = F.from_json(F.lit(forms), "map<string,string>")
+    composed = F.regexp_replace(value, pairs, "\u00e9")  # what composes is kept by no later step
+    each = F.transform(F.split(composed, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_element_at(table, c), c)).otherwise(c))
+    return F.when(value.rlike(r"[^\x00-\x7F]"), F.array_join(each, "")).otherwise(value)
 
 
 def trim_space(value: Column) -> Column:
@@ -33,13 +55,9 @@ def squeeze(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, rf"{SPACE}+", " "))
 
 
-def normalize_text(value: Column, compatibility: bool = False) -> Column:
-    """Lower case, ``&amp;`` decoded, everything but letters, digits and ``+ # .`` one blank, trimmed. Null stays null.
-
-    ``compatibility`` resolves compatibility forms (NFKC) first. That needs Python, so it is asked for only where a source is known to use them.
-    """
-    value = nfkc(value) if compatibility else value
-    return F.trim(F.regexp_replace(F.replace(F.lower(value), F.lit("&amp;"), F.lit("&")), "[^a-z0-9+#.]+", " "))
+def normalize_text(value: Column) -> Column:
+    """Compatibility forms resolved, lower case, ``&amp;`` decoded, everything but letters, digits and ``+ # .`` one blank, trimmed. Null stays null."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(compatible(value)), F.lit("&amp;"), F.lit("&")), "[^a-z0-9+#.]+", " "))
 
 
 def _replace_all(value: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -78,10 +96,14 @@ def clean_cell(cell: Column) -> Column:
     return squeeze(_replace_all(cell, [(r"\[([^\]]+)\]\(https?://[^)]+\)", "$1"), ("<[^>]*>", " "), ("&nbsp;|&#x200B;", " "), (r"\*\*", "")]))
 
 
+#: Words at the end of a name that a board's address may leave out.
+SLUG_SUFFIX = r"\b(inc|corp|corporation|technologies|technology|labs|group|holdings|company|co)\b"
+
+
 def slug_candidates(name: Column) -> Column:
     """Up to three distinct addresses that a board of this name may have, the full name before the one without its suffix."""
     base = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9 ]", ""))
-    short = F.trim(F.regexp_replace(base, r"\b(inc|corp|corporation|technologies|technology|labs|group|holdings|company|co)\b", ""))
+    short = F.trim(F.regexp_replace(base, SLUG_SUFFIX, ""))
     joined = lambda c: [F.regexp_replace(c, r"\s+", ""), F.regexp_replace(c, r"\s+", "-")]
     more = F.when((short != "") & (short != base), F.array(*joined(short))).otherwise(F.array().cast("array<string>"))
     return F.slice(F.filter(F.array_distinct(F.concat(F.array(*joined(base)), more)), lambda s: F.length(s) > 2), 1, 3)

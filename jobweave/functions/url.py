@@ -35,7 +35,7 @@ _WHOLE = r"^([A-Za-z][A-Za-z0-9+.-]*):/+([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$
 
 
 def canonicalize_url(url: Column) -> Column:
-    """An address without fragment, tracking and ``www.``: scheme and host in lower case, slashes single and none at the end, the query sorted by key.
+    """An address without fragment, tracking and ``www.``: scheme and host in lower case, slashes single and none at the end, the query decoded, sorted by key and encoded again as forms are.
 
     Repeated keys keep their order; text that is no http(s) address is returned trimmed; null stays null.
     """
@@ -45,9 +45,11 @@ def canonicalize_url(url: Column) -> Column:
         host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
         path = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, _WHOLE, 3), "/{2,}", "/"), "/$", "")
         pairs = F.filter(F.split(F.regexp_extract(u, _WHOLE, 4), "&"), lambda p: p != "")
-        key = lambda p: F.lower(F.substring_index(p, "=", 1))
-        kept = F.filter(pairs, lambda p: ~key(p).isin(TRACKING_KEYS) & ~key(p).startswith("utm_"))
-        numbered = F.array_sort(F.transform(kept, lambda p, k: F.struct(F.substring_index(p, "=", 1).alias("key"), k.alias("k"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("p"))))
+        plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+        key = lambda p: plain(F.substring_index(p, "=", 1))
+        kept = F.filter(pairs, lambda p: ~F.lower(key(p)).isin(TRACKING_KEYS) & ~F.lower(key(p)).startswith("utm_"))
+        value = lambda p: F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")
+        numbered = F.array_sort(F.transform(kept, lambda p, k: F.struct(key(p).alias("key"), k.alias("k"), F.concat(F.url_encode(key(p)), F.lit("="), F.url_encode(plain(value(p)))).alias("p"))))
         query = F.array_join(F.transform(numbered, lambda x: x["p"]), "&")
         return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 

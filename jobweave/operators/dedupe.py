@@ -24,7 +24,7 @@ def alternative_keys(url: Column, company: Column, source_id: Column, title: Col
     return F.array_distinct(F.array_compact(F.array(F.concat(F.lit("key:"), key), url_key, req, tup, sig)))
 
 
-def greedy_dedupe(rows: DataFrame, ident: str, keys: str, order: list, most: int = 100) -> DataFrame:
+def greedy_dedupe(rows: DataFrame, ident: str, keys: str, order: list) -> DataFrame:
     """Rows that no better kept row shares a key with, as a sequential scan in ``order`` would keep them.
 
     This is the lexicographically first maximal independent set, not connected components: a row that is dropped claims none of its keys. Each round keeps
@@ -35,7 +35,7 @@ def greedy_dedupe(rows: DataFrame, ident: str, keys: str, order: list, most: int
     ranked = rows.select(ident, keys, F.struct(*order, F.col(ident)).alias("_rank"))
     pending = write_shared(ranked.select(ident, "_rank", F.explode(keys).alias("_key")), "dedupe-keys")
     kept = ranked.where(F.coalesce(F.size(keys), F.lit(0)) <= 0).select(ident)
-    for _ in range(most):
+    while True:  # a round decides the best undecided row at least
         best = pending.groupBy("_key").agg(F.min("_rank").alias("_best"))
         state = pending.join(best, "_key").groupBy(ident).agg(F.min(F.when(F.col("_rank") == F.col("_best"), 1).otherwise(0)).alias("wins"))
         winners = write_shared(state.where("wins = 1").select(ident), "dedupe-kept")
@@ -45,7 +45,6 @@ def greedy_dedupe(rows: DataFrame, ident: str, keys: str, order: list, most: int
         pending = write_shared(pending.join(losers, ident, "left_anti"), "dedupe-keys")
         if pending.limit(1).count() == 0:
             return rows.join(kept, ident, "left_semi")
-    raise RuntimeError(f"undecided rows remain after {most} rounds")
 
 
 def merged_location(places: Column) -> Column:

@@ -22,6 +22,20 @@ def totals(rows: DataFrame, reason: str, kept: str) -> DataFrame:
     return rows.agg(F.count("*").alias("raw"), F.count_if(eligible).alias("eligible"), F.count_if(~eligible).alias("rejected"), F.count_if(eligible & ~F.col(kept)).alias("deduplicated"))
 
 
+def batch_counts(rows: DataFrame) -> DataFrame:
+    """One row: raw, accepted, rejected, deduplicated, applied_excluded of rows with booleans rejected, excluded, unique, accepted.
+
+    Rejected counts the excluded rows too; deduplicated are the rows that are neither rejected nor excluded and that another row stands for.
+    """
+    open_ = ~F.col("rejected") & ~F.col("excluded")
+    return rows.agg(F.count("*").alias("raw"), F.count_if("accepted").alias("accepted"), F.count_if(~open_).alias("rejected"), F.count_if(open_ & ~F.col("unique")).alias("deduplicated"), F.count_if(~F.col("rejected") & F.col("excluded")).alias("applied_excluded"))
+
+
+def metrics_of(runs: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    """``runs`` with numbers read from a column of JSON text; what is missing or no number is null."""
+    return runs.withColumns({f: F.get_json_object(column, f"$.{f}").try_cast("double") for f in fields})
+
+
 def coverage(seen: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """One row: wanted, found, percent (rounded; 0 of an empty list)."""
     hit = wanted.select(key).distinct().join(seen.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")

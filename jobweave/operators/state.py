@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobweave.session import read_text, remove, write_text
+
 
 class SnapshotStore:
     """A table kept as immutable snapshot folders and a pointer to the current one, replaced in one step. One writer at a time, guarded by a lock file.
@@ -18,41 +20,41 @@ class SnapshotStore:
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.removeprefix("file://").rstrip("/")
-        os.makedirs(self.root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
 
     def current(self) -> DataFrame | None:
-        pointer = f"{self.root}/CURRENT"
-        return self.spark.read.parquet(f"{self.root}/{json.load(open(pointer))['snapshot']}") if os.path.exists(pointer) else None
+        pointer = read_text(self.spark, f"{self.root}/CURRENT")
+        return self.spark.read.parquet(f"{self.root}/{json.loads(pointer)['snapshot']}") if pointer else None
 
     def commit(self, table: DataFrame, partition_by: str | None = None) -> DataFrame:
         name = f"snapshot-{uuid.uuid4().hex}"
         writer = table.write
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{name}")
-        with open(f"{self.root}/CURRENT.next", "w") as f:
-            json.dump({"snapshot": name}, f)
-        os.replace(f"{self.root}/CURRENT.next", f"{self.root}/CURRENT")
+        write_text(self.spark, f"{self.root}/CURRENT", json.dumps({"snapshot": name}))
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     @contextmanager
     def lock(self):
         """Held by one run; a second one fails at once."""
-        fd = os.open(f"{self.root}/LOCK", os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        try:
+            write_text(self.spark, f"{self.root}/LOCK", "", once=True)
+        except Py4JJavaError as e:
+            raise FileExistsError(f"{self.root} is locked") from e
         try:
             yield self
         finally:
-            os.close(fd)
-            os.remove(f"{self.root}/LOCK")
+            remove(self.spark, f"{self.root}/LOCK")
 
 
 def merge_state(previous: DataFrame, incoming: DataFrame, now: Column, repost_after_days: int = 30) -> DataFrame:
     """The next state: ``incoming`` (with ``stored_id``, null for a new posting) merged into ``previous``.
 
-    New postings start at version 1. A known one is seen now; its texts are filled but never emptied; CLOSED sets ``closed_at`` once, OPEN clears it and
+    New postings start at version 1. A known one is seen now and takes the incoming company, title, place, cycle and description where they are there; its key and source id stay. A missing status is OPEN; CLOSED sets ``closed_at`` once, OPEN clears it and
     stamps ``reopened_at`` if it was closed; a posting open again after more than ``repost_after_days`` is new to the reader (``sent_at`` cleared); a repost or a changed
-    fingerprint raises the version. Several incoming rows of one stored posting count as the first by id.
+    fingerprint raises the version. Of several incoming rows of one stored posting the last by id counts; two new rows
+    that are one posting should be one before (``greedy_dedupe``).
     """
-    one = incoming.groupBy(F.coalesce("stored_id", "id").alias("id")).agg(F.min_by(F.struct(*[F.col(c) for c in incoming.columns if c != "id"]), "id").alias("n"))
+    one = incoming.groupBy(F.coalesce("stored_id", "id").alias("id")).agg(F.max_by(F.struct(*[F.col(c) for c in incoming.columns if c not in ("id", "status")], F.coalesce("status", F.lit("OPEN")).alias("status")), F.col("id")).alias("n"))
     p, n = previous.alias("p"), one.alias("x")
     j = p.join(n, F.col("p.id") == F.col("x.id"), "full")
     old, new = F.col("p.id").isNotNull(), F.col("x.id").isNotNull()
@@ -61,9 +63,9 @@ def merge_state(previous: DataFrame, incoming: DataFrame, now: Column, repost_af
     repost = F.coalesce(back & (F.col("p.closed_at") < now - F.make_dt_interval(days=F.lit(repost_after_days))), F.lit(False))
     changed = F.coalesce((F.col("p.material_fingerprint") != "") & (F.col("p.material_fingerprint") != F.col("n.material_fingerprint")), F.lit(False))
     keep = lambda c: F.coalesce(F.col(f"p.{c}"), F.col(f"n.{c}")).alias(c)
+    take = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"p.{c}")).alias(c)
     return j.select(
-        F.coalesce("p.id", "x.id").alias("id"), keep("canonical_key"), keep("canonical_url"), keep("company"), keep("title"), keep("location"), keep("cycle"), keep("source_job_id"),
-        F.coalesce(F.col("n.description"), F.col("p.description")).alias("description"), F.when(new, F.col("n.status")).otherwise(F.col("p.status")).alias("status"),
+        F.coalesce("p.id", "x.id").alias("id"), keep("canonical_key"), take("canonical_url"), take("company"), take("title"), take("location"), take("cycle"), keep("source_job_id"), take("description"), F.when(new, F.col("n.status")).otherwise(F.col("p.status")).alias("status"),
         F.when(new, F.col("n.material_fingerprint")).otherwise(F.col("p.material_fingerprint")).alias("material_fingerprint"),
         F.when(~old, 1).otherwise(F.col("p.material_version") + F.when(new & (repost | changed), 1).otherwise(0)).alias("material_version"),
         F.coalesce("p.first_seen_at", now).alias("first_seen_at"), F.when(new, now).otherwise(F.col("p.last_seen_at")).alias("last_seen_at"),
@@ -149,6 +151,22 @@ def confirm_batch(store: SnapshotStore, batch_key: str, now: str) -> int:
     return n
 
 
+def stamp_sent(jobs: DataFrame, batches: DataFrame, batch_key: str) -> DataFrame:
+    """Jobs with ``sent_at`` of a confirmed batch (batch_key, status, sent_at, job_ids) on every member of it; others stay, and a batch that was not sent stamps none."""
+    members = batches.where((F.col("batch_key") == batch_key) & (F.col("status") == "SENT")).select(F.explode("job_ids").alias("id"), F.col("sent_at").alias("_sent")).groupBy("id").agg(F.max("_sent").alias("_sent"))
+    return jobs.withColumn("_id", F.col("id").cast("string")).join(members.withColumnRenamed("id", "_id"), "_id", "left").withColumn("sent_at", F.coalesce("_sent", "sent_at")).drop("_sent", "_id")
+
+
+def unsent(jobs: DataFrame) -> DataFrame:
+    """Jobs that are open and were never sent."""
+    return jobs.where("status = 'OPEN' and sent_at is null")
+
+
+def unexpired(overrides: DataFrame, now: Column) -> DataFrame:
+    """Overrides without an end (``expires_at``) or with one still to come."""
+    return overrides.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+
+
 def restore_sent(jobs: DataFrame, deliveries: DataFrame) -> DataFrame:
     """Jobs with ``sent_at`` filled from the latest sent batch that holds them. ``deliveries``: id, status, sent_at, one row per batch and job, or per batch
     with an array ``job_ids``."""

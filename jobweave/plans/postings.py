@@ -25,7 +25,8 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("cycle0", F.coalesce("cycle", F.lit(""))).withColumn("signature", sig).withColumn("requisition", identity.requisition_signature(F.col("normalized_company"), F.col("normalized_title"), F.col("cycle")))
 
 
-_N = "trim(regexp_replace(replace(lower({0}), '&amp;', '&'), '[^a-z0-9+#.]+', ' ', 'g'))"
+# SQL has no compatibility forms; the ellipsis is the only character of the tables that has one with signs that are kept
+_N = "trim(regexp_replace(replace(replace(lower({0}), '…', '...'), '&amp;', '&'), '[^a-z0-9+#.]+', ' ', 'g'))"
 _SIG = r"array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split_regex({0}, '[^a-z0-9+#]+'), lambda w: w <> '' and not regexp_full_match(w, '" + identity.TITLE_NOISE.strip("^$") + r"')), lambda w: left(w, 5)))), '.')"
 _STATES = "map {{" + ", ".join(f"'{k}': '{v}'" for k, v in identity.STATES.items()) + "}}"
 _COUNTRY = ", ".join(f"'{c}'" for c in identity.COUNTRY_WORDS)
@@ -44,18 +45,20 @@ def canonical_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 _KEYS = ", ".join(f"'{k}'" for k in url.TRACKING_KEYS)
+_DEC, _ENC = "url_decode(replace({0}, '+', ' '))", "replace(replace(replace(url_encode({0}), '%20', '+'), '~', '%7E'), '%2A', '*')"
+_K, _V = _DEC.format("split_part(p, '=', 1)"), _DEC.format("case when contains(p, '=') then substr(p, instr(p, '=') + 1) else '' end")
 _URL = (
     "case when regexp_full_match(trim({0}), '(?i)https?:/+[^/?#\\s]+[^\\s]*') then lower(regexp_extract(trim({0}), '^([A-Za-z]+):', 1)) || '://' || regexp_replace(lower(regexp_extract(trim({0}), '^[A-Za-z]+:/+([^/?#]+)', 1)), '^www\\.', '')"
     " || case when regexp_replace(regexp_replace(regexp_extract(trim({0}), '^[A-Za-z]+:/+[^/?#]+([^?#]*)', 1), '/{{2,}}', '/', 'g'), '/$', '') = '' then '/' else regexp_replace(regexp_replace(regexp_extract(trim({0}), '^[A-Za-z]+:/+[^/?#]+([^?#]*)', 1), '/{{2,}}', '/', 'g'), '/$', '') end"
-    " || coalesce('?' || nullif(array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(regexp_extract(trim({0}), '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' and lower(split_part(p, '=', 1)) not in (" + _KEYS + ") and not starts_with(lower(split_part(p, '=', 1)), 'utm_')),"
-    " lambda p, i: {{'key': split_part(p, '=', 1), 'k': i, 'p': case when contains(p, '=') then p else p || '=' end}})), lambda x: x.p), '&'), ''), '') else trim({0}) end"
+    " || coalesce('?' || nullif(array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(regexp_extract(trim({0}), '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' and lower(" + _K + ") not in (" + _KEYS + ") and not starts_with(lower(" + _K + "), 'utm_')),"
+    " lambda p, i: {{'key': " + _K + ", 'k': i, 'p': " + _ENC.format(_K) + " || '=' || " + _ENC.format(_V) + "}})), lambda x: x.p), '&'), ''), '') else trim({0}) end"
 )
 
 
 def link_facts(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("direct_apply_url")
     board = url.board_from_url(u)
-    return table(spark, d, "raw_postings").select("posting_id", url.apply_link_rank(u).alias("link_rank"), url.source_job_id(u).alias("link_id"), board["board"].alias("board"), F.size(sinks.apply_links(u, F.col("source_url"))).alias("n_links"))
+    return table(spark, d, "raw_postings").select("posting_id", url.apply_link_rank(u).alias("link_rank"), url.source_job_id(u).alias("link_id"), board["board"].alias("board"), F.size(sinks.apply_links(u, F.col("source_url"))).alias("n_links"), F.array_join(F.transform(sinks.apply_links(u, F.col("source_url")), lambda x: F.concat_ws(" ", x["label"], x["url"])), "\n").alias("links"))
 
 
 _LINK_ID = "coalesce(" + ", ".join(f"nullif(regexp_extract(direct_apply_url, '{p}', 1), '')" for p in url.ID_PATTERNS) + ")"
@@ -264,14 +267,14 @@ def merged_state(spark: SparkSession, d: str) -> DataFrame:
     old, new = _state_of(spark, d, 3), _state_of(spark, d, 7)
     incoming = new.join(old.select("id", F.col("id").alias("stored_id")), "id", "left")
     m = state.merge_state(old, incoming, _now())
-    return m.select("id", "status", "material_version", "first_seen_at", "last_seen_at", "closed_at", "reopened_at", "sent_at")
+    return m.select("id", "company", "title", "location", "cycle", "status", "material_version", "first_seen_at", "last_seen_at", "closed_at", "reopened_at", "sent_at")
 
 
-_ST = "(select lower(trim(source_name)) || ':' || trim(source_job_id) id, arg_max({{'title': title, 'location': \"location\", 'status': upper(coalesce(nullif(trim(status), ''), 'OPEN')), 'v': coalesce(material_version, 1), 'sent': sent_at, 'at': delivered_at}}, (delivered_at, material_version, coalesce(title, ''), coalesce(status, ''))) r from job_snapshots where snapshot_no = {0} and trim(source_job_id) <> '' group by 1)"
+_ST = "(select lower(trim(source_name)) || ':' || trim(source_job_id) id, arg_max({{'title': title, 'company': company, 'location': \"location\", 'status': upper(coalesce(nullif(trim(status), ''), 'OPEN')), 'v': coalesce(material_version, 1), 'sent': sent_at, 'at': delivered_at}}, (delivered_at, material_version, coalesce(title, ''), coalesce(status, ''))) r from job_snapshots where snapshot_no = {0} and trim(source_job_id) <> '' group by 1)"
 MERGE_SQL = f"""
 with o as {_ST.format(3)}, n as {_ST.format(7)}, j as (select coalesce(o.id, n.id) id, o.r o, n.r n, sha256(concat_ws('|', o.r.title, o.r."location")) fo, sha256(concat_ws('|', n.r.title, n.r."location")) fn from o full join n on o.id = n.id),
 k as (select *, coalesce(n.status = 'OPEN' and o.status = 'CLOSED' and o.at < timestamptz '{NOW}+00' - interval 30 day, false) repost from j)
-select id, coalesce(n.status, o.status) status, case when o is null then 1 else o.v + (n is not null and (repost or fo <> fn))::int end material_version, coalesce(o.at, timestamptz '{NOW}+00') first_seen_at, case when n is not null then timestamptz '{NOW}+00' else o.at end last_seen_at,
+select id, coalesce(n.company, o.company) company, coalesce(n.title, o.title) title, coalesce(n."location", o."location") "location", null::varchar "cycle", coalesce(n.status, o.status) status, case when o is null then 1 else o.v + (n is not null and (repost or fo <> fn))::int end material_version, coalesce(o.at, timestamptz '{NOW}+00') first_seen_at, case when n is not null then timestamptz '{NOW}+00' else o.at end last_seen_at,
   case when n.status = 'OPEN' then null when n.status = 'CLOSED' then coalesce(case when o.status = 'CLOSED' then o.at end, timestamptz '{NOW}+00') else case when o.status = 'CLOSED' then o.at end end closed_at, case when n.status = 'OPEN' and o.status = 'CLOSED' then timestamptz '{NOW}+00' end reopened_at, case when repost then null else o.sent end sent_at from k
 """
 
@@ -383,7 +386,7 @@ QUERIES = {
 SQL = {
     "normalize_text": f"select posting_id, {_N.format('title')} title_key, {_CK} company_key from raw_postings",
     "canonical_url": f"select posting_id, {_URL.format('direct_apply_url')} canonical, {_URL.format('source_url')} canonical_source from raw_postings",
-    "link_facts": f"select posting_id, {_RANK} link_rank, {_LINK_ID} link_id, {_BOARD} board, ((direct_apply_url is not null)::int + coalesce((source_url <> coalesce(direct_apply_url, ''))::int, 0))::int n_links from raw_postings",
+    "link_facts": f"select posting_id, concat_ws(chr(10), case when {_RANK.replace('direct_apply_url', 'coalesce(direct_apply_url, source_url)')} = 1 then 'View listing ' else 'Apply ' end || coalesce(direct_apply_url, source_url), case when source_url <> coalesce(direct_apply_url, source_url) then 'Listing ' || source_url end) links, {_RANK} link_rank, {_LINK_ID} link_id, {_BOARD} board, ((coalesce(direct_apply_url, source_url) is not null)::int + coalesce((source_url <> coalesce(direct_apply_url, source_url))::int, 0))::int n_links from raw_postings",
     "identity_keys": IDENTITY_SQL,
     "summaries": f"select posting_id, case when {_SUM} = '' then '{text.NO_SUMMARY}' else left({_SUM}, 280) end summary from raw_postings",
     "page_text": f"select doc_id, length({_SQ.format(_HTML)})::int n, sha256({_SQ.format(_HTML)}) hash, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) escaped_hash from documents",

@@ -103,12 +103,12 @@ def parse_link_postings(documents: DataFrame) -> DataFrame:
 
 
 def parse_cards(documents: DataFrame) -> DataFrame:
-    """Raw postings of pages of cards (``<li>`` with an id, a title and a company); an id counts once per source."""
-    get = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract("card", p, 1), "<[^>]*>", " "), "&amp;", "&"), "&#x27;|&apos;", "'"), r"\s+", " "))
+    """Raw postings of pages of cards (``<li>`` with an id, a title and a company); an id counts once per source, where it comes first by address and line."""
+    get = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract("card", p, 1), "<[^>]*>", " "), "&amp;", "&"), "&#x27;|&apos;", "'"), "&quot;", '"'), r"\s+", " "))
     cards = documents.select(*_KEEP, F.posexplode(F.split("document", "<li>")).alias("line_no", "card")).where("line_no > 0")
     rows = cards.withColumn("ident", get(r'data-entity-urn="urn:li:jobPosting:(\d+)"')).withColumn("title", get(r"(?s)<h3[^>]*base-search-card__title[^>]*>(.*?)</h3>")).withColumn("company", get(r"(?s)<h4[^>]*base-search-card__subtitle[^>]*>(.*?)</h4>")).withColumn("place", get(r"(?s)<span[^>]*job-search-card__location[^>]*>(.*?)</span>"))
     rows = rows.withColumn("href", F.substring_index(F.regexp_extract("card", r'<a[^>]*base-card__full-link[^>]*href="([^"]+)"', 1), "?", 1)).withColumn("day", F.regexp_extract("card", r'<time[^>]*datetime="([\d-]+)"', 1))
-    rows = rows.where("ident <> '' and title <> '' and company <> ''").withColumn("_rn", F.row_number().over(W.Window.partitionBy("source_name", "ident").orderBy("line_no"))).where("_rn = 1")
+    rows = rows.where("ident <> '' and title <> '' and company <> ''").withColumn("_rn", F.row_number().over(W.Window.partitionBy("source_name", "ident").orderBy("url", "line_no"))).where("_rn = 1")
     url = F.when(F.col("href") != "", F.col("href")).otherwise(F.concat(F.lit("https://www.linkedin.com/jobs/view/"), F.col("ident")))
     posted = F.when(F.col("day") != "", F.concat(F.col("day"), F.lit("T00:00:00.000Z")))
     return _raw(rows, {"source_job_id": F.col("ident"), "title": F.col("title"), "company": F.col("company"), "location": F.coalesce(F.nullif("place", F.lit("")), F.lit("Unspecified")), "posted_at": posted, "source_url": url, "direct_apply_url": url}, "line_no")
@@ -156,6 +156,19 @@ def parse_watchlist(documents: DataFrame, priorities: list[tuple[str, int]], oth
     return rows.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").select("parent", "aliases", "section", "priority")
 
 
+def page_runs(documents: DataFrame, postings: DataFrame, least: int) -> DataFrame:
+    """source_name, status, fetched_count, error_message of every source of ``documents``: FAILED if its pages have more than ``least`` characters and gave no posting.
+
+    Changed mark-up looks like a day without news unless it is reported; a null document has no characters.
+    """
+    sizes = documents.groupBy("source_name").agg(F.sum(F.coalesce(F.length("document"), F.lit(0))).alias("_size"))
+    got = postings.groupBy("source_name").agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
+    bad = (n == 0) & (F.col("_size") > least)
+    message = F.when(bad, F.concat(F.lit("no posting in "), F.col("_size").cast("string"), F.lit(" characters")))
+    return sizes.join(got, "source_name", "left").select("source_name", F.when(bad, "FAILED").otherwise("SUCCESS").alias("status"), n.alias("fetched_count"), message.alias("error_message"))
+
+
 def page_hashes(pages: DataFrame, least: int = 500) -> DataFrame:
     """url, content_hash, text_length: the hash of a watched page's text; '' (unreadable) below ``least`` characters."""
     t = pages.select("url", extract_text(F.col("html")).alias("_t"))

@@ -34,7 +34,7 @@ def test_links(spark):
 
 
 def test_texts(spark):
-    assert one(spark, lambda c: text.normalize_text(c, True), "ﬁne  C++ &amp; R&D!") == "fine c++ r d"
+    assert one(spark, lambda c: text.normalize_text(c), "ﬁne  C++ &amp; R&D!") == "fine c++ r d"
     assert one(spark, text.extract_text, "<p>Hi&nbsp;<b>you</b></p><script>x<y</script> &amp; me") == "Hi you & me"
     assert one(spark, text.short_summary, "&amp;lt;p&amp;gt;Hello &amp;amp; all") == "Hello & all"
     assert one(spark, text.short_summary, None) == text.NO_SUMMARY and len(one(spark, text.short_summary, "ab " * 9999)) == 280
@@ -81,3 +81,26 @@ def test_rules(spark):
     assert [r[0] for r in df.select(rules.first_match(rs, "none")).collect()] == ["a", "b", "none", "none"]
     assert [r[0] for r in df.select(rules.evidence(rs)).collect()] == ["Alpha", "BETA", None, None] and df.select(rules.all_matches(rs)).first()[0] == ["a", "b"]
     assert [one(spark, rules.season_cycle, t) for t in ("Trading Intern - Winter Quarter 2027", "2026 Fall intern", "Summer '27 intern", "intern 2027", "Springfield 2027")] == ["Winter 2027", "Fall 2026", "Summer 2027", None, None]
+
+
+def test_compatibility_forms_against_the_character_database(spark):
+    import re
+    import unicodedata
+
+    chars = [chr(c) for c in [*range(0xA0, 0xD800), *range(0xF900, 0x1F000)] if unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    values = ["".join(f"a{c}b " for c in chars[k : k + 40]) for k in range(0, len(chars), 40)]
+    values += [f"{b}{m}x" for b in "aAqQzsN" for m in map(chr, range(0x300, 0x370))] + ["Ｆｕｌｌ　Ｗｉｄｔｈ＋", "①②③ №5 ½ ℡ ﬃ", "plain C++ &amp; R&D", "", "İstanbul"]
+    want = [re.sub("[^a-z0-9+#.]+", " ", unicodedata.normalize("NFKC", v).lower().replace("&amp;", "&")).strip() for v in values]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)] + [(-1, None)], "k int, v string")
+    got = {r.k: r.n for r in df.select("k", text.normalize_text(F.col("v")).alias("n")).collect()}
+    wrong = [(values[k], w, got[k]) for k, w in enumerate(want) if got[k] != w]
+    assert got[-1] is None and not wrong, wrong[:5]
+
+
+def test_queries_are_encoded_as_forms_are(spark):
+    cases = {
+        "https://a.example/x?b=1%202&a=%C3%A9": "https://a.example/x?a=%C3%A9&b=1+2", "https://a.example/x?q=a~b*c(d)": "https://a.example/x?q=a%7Eb*c%28d%29", "https://a.example/x?q=50%&utm%5Fsource=z": "https://a.example/x?q=50%25",
+        "https://a.example/x?k=a=b": "https://a.example/x?k=a%3Db", "https://a.example/x?flag": "https://a.example/x?flag=",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "u string")
+    assert {r.u: r.c for r in df.select("u", url.canonicalize_url(F.col("u")).alias("c")).collect()} == cases

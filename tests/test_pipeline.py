@@ -3,7 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from jobweave.operators.enrich import apply_verdicts, page_verdicts, pending, seen_addresses
-from jobweave.plans.pipeline import run_batch
+from jobweave.operators.state import SnapshotStore
+from jobweave.plans.pipeline import Stores, confirm, run_batch, run_persistent
 from jobweave.schema import EXCLUSION, RAW_POSTING
 from jobweave.sources.landing import cap_per_source, landed, read_fixture
 
@@ -28,7 +29,8 @@ def test_fixture_batch(spark, tmp_path):
     excluded = spark.createDataFrame([("p", "acme holdings", "already applied analyst intern", None, None)], EXCLUSION)
     sent = spark.createDataFrame([("acme holdings|Fall 2026|robot.sent",), (None,)], "signature string")
     b = run_batch(raw, "id", aliases, excluded, sent, F.lit("All"), ["All"], 10)
-    assert b.report.first().asDict() == {"raw": 7, "eligible": 6, "rejected": 1, "deduplicated": 2}
+    assert b.report.first().asDict() == {"raw": 7, "accepted": 3, "rejected": 2, "deduplicated": 1, "applied_excluded": 1}
+    assert {r.reason: r.n for r in b.reasons.collect()} == {"closed": 1, "already_applied": 1, "requisition_already_sent": 1}
     groups = {r.title: (r.merged_location, r.n_members) for r in b.groups.collect()}
     assert groups == {"Software Engineer Intern - Summer 2027": ("NY, NY", 1), "Data Engineer Intern - Summer 2027": ("Dallas, TX · Boston, MA", 2)}
     assert b.members.count() == 3 and b.digest.first().n_roles == 2
@@ -36,6 +38,30 @@ def test_fixture_batch(spark, tmp_path):
     assert again.members.count() == 0
 
 
+def test_persistent_runs(spark, tmp_path):
+    path = tmp_path / "fixture.json"
+    path.write_text(json.dumps(ROWS[:5]))
+    raw = read_fixture(spark, str(path)).withColumn("id", F.monotonically_increasing_id())
+    aliases, excluded, none = spark.createDataFrame([("acme", "Acme Holdings")], "alias string, canonical string"), spark.createDataFrame([], EXCLUSION), spark.createDataFrame([], "signature string")
+    stores = Stores(*[SnapshotStore(spark, f"file://{tmp_path}/{n}") for n in ("jobs", "sources", "batches")])
+    make = lambda rows: run_batch(rows, "id", aliases, excluded, none, F.lit("All"), ["All"], 10)
+    first = make(raw)
+    key = run_persistent(first, stores, "2026-01-01 00:00:00")
+    assert key and first.report.first().asDict() == {"raw": 5, "accepted": 3, "rejected": 1, "deduplicated": 1, "applied_excluded": 0}
+    # unconfirmed, the same batch is claimed already; confirmed, nothing is left to report
+    assert run_persistent(make(raw), stores, "2026-01-01 00:10:00") is None
+    assert confirm(stores, key, "2026-01-01 00:20:00") == 1 and confirm(stores, key, "2026-01-01 00:21:00") == 0
+    again = make(raw)
+    assert run_persistent(again, stores, "2026-01-02 00:00:00") is None and again.report.first()["accepted"] == 0
+    jobs = stores.jobs.current()
+    assert jobs.where("sent_at is not null").count() == 3 == jobs.count() and {r.material_version for r in jobs.collect()} == {1}
+    # what no source has any more is closed; what is new is reported alone
+    extra = raw.limit(1).withColumn("title", F.lit("Robotics Engineer Intern - Fall 2026")).withColumn("source_job_id", F.lit("77")).withColumn("direct_apply_url", F.lit("https://jobs.lever.co/acme/77")).withColumn("id", F.lit(99).cast("long"))
+    late = make(extra)
+    assert run_persistent(late, stores, "2026-01-09 00:00:00") and late.members.count() == 1
+    assert {r.status: r.n for r in stores.jobs.current().groupBy("status").agg(F.count("*").alias("n")).collect()} == {"CLOSED": 3, "OPEN": 1}
+
+
 def test_landed_files(spark, tmp_path):
     (tmp_path / "a.json").write_text("[1,\n2]")
     rows = landed(spark, str(tmp_path), spark.createDataFrame([("a.json", "a"), ("missing.json", "b")], "file string, source_name string")).collect()

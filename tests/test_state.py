@@ -120,3 +120,38 @@ def test_listing_match_against_brute_force(spark):
     assert {r.listing_id: r.posting_id for r in joins.first_listing_match(listings, postings).collect()} == want
     alone = joins.first_listing_match(listings.where("name = 'Tujurafu'"), postings.where("name = 'tujurafu.example'"))
     assert alone.count() == 3 and joins.first_listing_match(listings.limit(0), postings).count() == 0
+
+
+def test_merge_takes_the_new_texts(spark):
+    schema = "id string, canonical_key string, canonical_url string, company string, title string, location string, cycle string, source_job_id string, description string, status string, material_fingerprint string"
+    old = spark.createDataFrame([("a", "k", "u", "Acme", "Old title", "NY", "Fall 2026", "1", "d", "OPEN", "f1")], schema).withColumns({"material_version": F.lit(1), "first_seen_at": F.lit("2026-01-01").cast("timestamp"), "last_seen_at": F.lit("2026-01-01").cast("timestamp"), "closed_at": F.lit(None).cast("timestamp"), "reopened_at": F.lit(None).cast("timestamp"), "sent_at": F.lit(None).cast("timestamp")})
+    new = spark.createDataFrame([("x", "k2", "u2", "Acme Inc", "Middle", "LA", "Fall 2026", "2", None, "OPEN", "f2", "a"), ("y", "k3", None, "Acme Corp", "New title", "SF", None, "2", None, None, "f3", "a")], schema + ", stored_id string")
+    r = state.merge_state(old, new, F.lit("2026-02-01").cast("timestamp")).first()
+    assert (r.id, r.canonical_key, r.company, r.title, r.location, r.cycle, r.description, r.material_version, r.material_fingerprint, r.status, r.source_job_id) == ("a", "k", "Acme Corp", "New title", "SF", "Fall 2026", "d", 2, "f3", "OPEN", "1")
+
+
+def test_small_state_filters(spark):
+    now = F.lit("2026-02-01").cast("timestamp")
+    o = spark.createDataFrame([(1, None), (2, "2026-01-01"), (3, "2026-03-01")], "k int, e string").withColumn("expires_at", F.col("e").cast("timestamp"))
+    assert sorted(r.k for r in state.unexpired(o, now).collect()) == [1, 3]
+    j = spark.createDataFrame([(1, "OPEN", None), (2, "CLOSED", None), (3, "OPEN", "2026-01-01")], "id int, status string, s string").withColumn("sent_at", F.col("s").cast("timestamp"))
+    assert [r.id for r in state.unsent(j).collect()] == [1]
+    b = spark.createDataFrame([("k", "SENT", ["1", "9"]), ("q", "CLAIMED", ["2"])], "batch_key string, status string, job_ids array<string>").withColumn("sent_at", now)
+    assert {r.id: r.sent_at is not None for r in state.stamp_sent(j, b, "k").collect()} == {1: True, 2: False, 3: True} and state.stamp_sent(j, b, "q").where("sent_at is not null").count() == 1
+    runs = spark.createDataFrame([("a", "SUCCESS", None), ("b", "FAILED", "timeout"), ("c", "SKIPPED", "not due"), ("d", "degraded", None)], "source_name string, status string, error_message string")
+    assert sorted(r.note for r in sinks.degraded(runs).collect()) == ["b: timeout", "d: DEGRADED"]
+    rows = spark.createDataFrame([("S", 1, "T & U", "Acme", "NY", "Apply", "http://x", ["Go"], 1)], "section string, section_no int, title string, company string, place string, label string, url string, skills array<string>, o int")
+    changes = spark.createDataFrame([("Acme", "Careers", "http://p")], "company string, label string, url string")
+    d = sinks.render_digest(rows, [F.col("o").alias("o")], changes=changes, notes=sinks.degraded(runs)).first()
+    assert d.subject == "New roles: 1 roles" and "Skills: Go" in d.text and "- Acme - Careers: http://p" in d.text and "- b: timeout" in d.text and "<li>d: DEGRADED</li>" in d.html and "T &amp; U" in d.html
+    empty = sinks.render_digest(rows.limit(0), [F.col("o").alias("o")], changes=changes).first()
+    assert empty.subject == "Page updates: 1 changed" and empty.n_roles == 0
+    assert spark.range(1).select(sinks.status_patch("Status", F.lit("Closed")).alias("p")).first().p == '{"properties":{"Status":{"select":{"name":"Closed"}}}}'
+
+
+def test_pages_that_give_nothing_fail(spark):
+    from jobweave.sources.pages import page_runs
+
+    docs = spark.createDataFrame([("a", "x" * 3000), ("b", "x"), ("c", None), ("d", "y" * 5000)], "source_name string, document string")
+    got = {r.source_name: (r.status, r.fetched_count) for r in page_runs(docs, spark.createDataFrame([("d",)], "source_name string"), 2000).collect()}
+    assert got == {"a": ("FAILED", 0), "b": ("SUCCESS", 0), "c": ("SUCCESS", 0), "d": ("SUCCESS", 1)}
