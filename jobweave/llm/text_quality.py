@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import pickle
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -27,10 +28,8 @@ CHUNK, SLACK = 60_000, 1_000
 KEPT = 2_000
 #: Partial counts merged at once in a node of the tree.
 FANOUT = 16
-#: Distinct hashes of five-word phrases kept (the smallest); up to this number the count of distinct phrases is exact.
-SKETCH = 128
-#: Cells of the count of long words by hash.
-CELLS = 512
+#: Words and tokens whose properties a task remembers.
+REMEMBERED = 300_000
 #: A list of common words longer than this is refused.
 MAX_COMMON = 20_000
 
@@ -41,10 +40,12 @@ COUNTS = [
 _AT = {c: k for k, c in enumerate(COUNTS)}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_PLAIN = re.compile(r"[\w\s]+")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 _BULLET = re.compile(r"(?:[-*•–—▪·+✓»]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\)|<li>)\s*\S")
-_BEFORE = re.compile(r"(?:(?<=\s)|^)[.,;:!?]+[^\W\d_]{2}")
+_BEFORE = re.compile(r"[.,;:!?](?<!\S.)[.,;:!?]*[^\W\d_]{2}")
 _DAMAGE = re.compile(r"[^\W\d_][^\w\s'’.,;:!?()/&@+#*-]+[^\W\d_]|�")
+_ODD = re.compile(r"[^\w\s'’.,;:!?()/&+@#*-]")
 _CODE = re.compile(r"[{}=<>$]|::|\(\)|^[0-9a-fA-F]{6,}$|^[0-9a-fA-F]{2}$|^https?://|[A-Za-z0-9+/]{24,}|\d{2}:\d{2}|\d{4}-\d{2}")
 _END = re.compile(r"[.!?…:;][\"'»”’)\]]*$")
 _PIECE = re.compile(r"\s[·|»›•–/]+\s|\s{2,}|!{2,}|[\U0001F000-\U0001FAFF☀-➿]+")
@@ -141,43 +142,86 @@ def _add(counts: np.ndarray, line: Line) -> None:
 
 
 class Partial(NamedTuple):
-    """Counts of a stretch of text. ``head`` is its part up to the first line break (None without any), ``tail`` that after the last one."""
+    """Counts of a stretch of text. ``head`` is its part up to the first line break (None without any), ``tail`` that after the last one.
+
+    ``words`` counts the words of four letters or more by hash, ``phrases`` are the distinct hashes of five words in a row.
+    """
 
     counts: np.ndarray
     common: dict[str, int]
-    phrases: list[int]
-    cells: np.ndarray
+    words: dict[int, int]
+    phrases: np.ndarray
     head: Line | None
     tail: Line
 
 
+class Counting:
+    """Counts chunks, and remembers what is to be known of a word or token that has come before. ``common``: the common words of each language."""
+
+    def __init__(self, common: dict[str, set]):
+        self.common, self.words, self.tokens = common, {}, {}
+
+    def word(self, w: str) -> tuple[int, bool, bool, tuple[str, ...]]:
+        """(hash of its lower case, whether it is in capitals, whether it has four letters or more, languages in which it is common)."""
+        low = w.lower()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        got = self.words[w] = int.from_bytes(blake2b(low.encode(), digest_size=8).digest(), "little") >> 1, w.isupper() and len(w) > 1, len(low) > 3, tuple(k for k, s in self.common.items() if low in s)
+        return got
+
+    def token(self, t: str) -> tuple[bool, bool]:
+        """(whether it is very long, whether it looks like code)."""
+        if len(self.tokens) > REMEMBERED:
+            self.tokens.clear()
+        got = self.tokens[t] = len(t) > 30, bool(_CODE.search(t))
+        return got
+
+    def count(self, text: str, before: str = "") -> Partial:
+        """Partial counts of a chunk; ``before`` is the character before it, by which a word that began in the neighbour is not counted again."""
+        counts = np.zeros(len(COUNTS), dtype=np.int64)
+        clean = _TAG.sub(" ", text)
+        words = _WORD.findall(clean)
+        letters = sum(map(len, words))
+        if words and before.isalpha() and clean[:1].isalpha():
+            words = words[1:]
+        tokens = clean.split()
+        upper = long_tokens = code = 0
+        common, many, hashes = dict.fromkeys(self.common, 0), {}, {}
+        for w, n in Counter(words).items():
+            h, capital, long, langs = self.words.get(w) or self.word(w)
+            hashes[w] = h
+            upper += n * capital
+            if long:
+                many[h] = many.get(h, 0) + n
+            for k in langs:
+                common[k] += n
+        for t, n in Counter(tokens).items():
+            long, looks = self.tokens.get(t) or self.token(t)
+            long_tokens += n * long
+            code += n * looks
+        phrases = np.zeros(0, np.uint64)
+        if len(words) > 4:
+            h = np.array([hashes[w] for w in words], dtype=np.uint64)
+            mixed = h[:-4].copy()
+            for k in range(1, 5):
+                mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - 4 + k]
+            phrases = np.unique(mixed)
+        totals = {
+            "chars": len(text), "letters": letters, "digits": sum(map(clean.count, "0123456789")), "symbols": len(clean) - sum(map(len, _PLAIN.findall(clean))),
+            "words": len(words), "word_chars": letters, "upper_words": upper, "tokens": len(tokens), "odd_tokens": len(_BEFORE.findall(clean)),
+            "damaged": len(_DAMAGE.findall(clean)) if _ODD.search(clean) else 0, "long_tokens": long_tokens, "code_tokens": code, "ends": len(_STOP.findall(clean)),
+            "commas": clean.count(","), "phrases": max(len(words) - 4, 0),
+        }
+        for k, v in totals.items():
+            counts[_AT[k]] = v
+        lines = text.split("\n")
+        for x in lines[1:-1]:
+            _add(counts, Line.of(x))
+        return Partial(counts, common, many, phrases, Line.of(lines[0]) if len(lines) > 1 else None, Line.of(lines[-1]))
+
+
 def count_chunk(text: str, common: dict[str, set], before: str = "") -> Partial:
-    """Partial counts of a chunk; ``before`` is the character before it, by which a word that began in the neighbour is not counted again."""
-    counts = np.zeros(len(COUNTS), dtype=np.int64)
-    clean = _TAG.sub(" ", text)
-    words = _WORD.findall(clean)
-    letters = sum(map(len, words))
-    if words and before.isalpha() and clean[:1].isalpha():
-        words = words[1:]
-    lower = [w.lower() for w in words]
-    tokens = clean.split()
-    totals = {
-        "chars": len(text), "letters": letters, "digits": sum(map(clean.count, "0123456789")), "symbols": len(clean) - sum(map(len, re.findall(r"[\w\s]+", clean))),
-        "words": len(words), "word_chars": letters, "upper_words": sum(w.isupper() and len(w) > 1 for w in words), "tokens": len(tokens), "odd_tokens": len(_BEFORE.findall(clean)),
-        "damaged": len(_DAMAGE.findall(clean)), "long_tokens": sum(len(t) > 30 for t in tokens), "code_tokens": sum(bool(_CODE.search(t)) for t in tokens), "ends": len(_STOP.findall(clean)),
-        "commas": clean.count(","), "phrases": max(len(lower) - 4, 0),
-    }
-    for k, v in totals.items():
-        counts[_AT[k]] = v
-    cells = np.zeros(CELLS, dtype=np.int64)
-    for w in lower:
-        if len(w) > 3:
-            cells[zlib.crc32(w.encode()) % CELLS] += 1
-    phrases = sorted({zlib.crc32(" ".join(lower[k : k + 5]).encode()) for k in range(max(len(lower) - 4, 0))})[:SKETCH]
-    lines = text.split("\n")
-    for x in lines[1:-1]:
-        _add(counts, Line.of(x))
-    return Partial(counts, {k: sum(w in s for w in lower) for k, s in common.items()}, phrases, cells, Line.of(lines[0]) if len(lines) > 1 else None, Line.of(lines[-1]))
+    return Counting(common).count(text, before)
 
 
 def merge(a: Partial, b: Partial) -> Partial:
@@ -190,33 +234,29 @@ def merge(a: Partial, b: Partial) -> Partial:
         head = a.tail.then(b.head)
     else:
         _add(counts, a.tail.then(b.head))
-    return Partial(counts, common, sorted(set(a.phrases) | set(b.phrases))[:SKETCH], a.cells + b.cells, head, tail)
+    words = {h: a.words.get(h, 0) + b.words.get(h, 0) for h in a.words.keys() | b.words.keys()}
+    return Partial(counts, common, words, np.union1d(a.phrases, b.phrases), head, tail)
 
 
-def finish(p: Partial) -> dict[str, float]:
-    """The statistics of a whole document from its counts."""
+def finish(p: Partial, top: int | None = None, distinct: int | None = None) -> dict[str, float]:
+    """The statistics of a whole document from its counts; ``top`` and ``distinct``, the rows of the commonest word and the distinct phrases, where they were counted elsewhere."""
     counts = p.counts.copy()
     for line in (p.head, p.tail):
         if line is not None:
             _add(counts, line)
-    return ratios(counts, p.common, p.phrases, p.cells)
+    return ratios(counts, p.common, len(p.phrases) if distinct is None else distinct, max(p.words.values(), default=0) if top is None else top)
 
 
-def ratios(counts: np.ndarray, langs: dict[str, int], hashes: list[int], cells: np.ndarray) -> dict[str, float]:
+def ratios(counts: np.ndarray, langs: dict[str, int], distinct: int, top: int) -> dict[str, float]:
     """The statistics of a whole document."""
-    c = {k: float(v) for k, v in zip(COUNTS, counts)}
-    n, lines, tokens = max(c["words"], 1), max(c["lines"], 1), max(c["tokens"], 1)
-    total = c["phrases"]
-    if len(hashes) < SKETCH:
-        distinct = float(len(hashes))
-    else:
-        distinct = min((SKETCH - 1) / (hashes[-1] / 2**32), total)
+    c = {k: float(v) for k, v in zip(COUNTS, counts.tolist())}
+    n, lines, tokens, total = max(c["words"], 1), max(c["lines"], 1), max(c["tokens"], 1), c["phrases"]
     return {
         "n_chars": c["chars"], "n_words": c["words"], "mean_word_length": c["word_chars"] / n, "symbol_ratio": c["symbols"] / max(c["chars"], 1), "digit_ratio": c["digits"] / max(c["chars"], 1),
         "letter_ratio": c["letters"] / max(c["chars"], 1), "n_lines": c["lines"], "line_end_share": c["line_ends"] / lines, "bullet_share": c["bullet_lines"] / lines, "cell_share": (c["cell_lines"] + c["pair_lines"]) / lines,
         "short_share": c["short_lines"] / lines, "list_word_share": c["list_words"] / n, "cell_word_share": c["cell_words"] / n, "sentence_word_share": c["sentence_words"] / n, "common_share": max([0, *langs.values()]) / n,
         "upper_share": c["upper_words"] / n, "odd_share": c["odd_tokens"] / tokens, "damage_share": c["damaged"] / n, "code_share": c["code_tokens"] / tokens, "long_share": c["long_tokens"] / tokens,
-        "words_per_end": n / (c["ends"] + 1), "comma_share": c["commas"] / n, "distinct_share": distinct / total if total else 1.0, "distinct_phrases": distinct, "top_word_share": float(cells.max()) / n,
+        "words_per_end": n / (c["ends"] + 1), "comma_share": c["commas"] / n, "distinct_share": distinct / total if total else 1.0, "distinct_phrases": float(distinct), "top_word_share": float(top) / n,
     }
 
 
@@ -250,7 +290,7 @@ def kind(r: dict[str, float]) -> str:
     return "prose"
 
 
-STATISTICS = list(ratios(np.zeros(len(COUNTS)), {}, [], np.zeros(CELLS)))
+STATISTICS = list(ratios(np.zeros(len(COUNTS)), {}, 0, 0))
 
 
 def _cut(text: str, k: int, base: int, chunk: int = CHUNK, slack: int = SLACK) -> tuple[str, str]:
@@ -267,7 +307,7 @@ def _cut(text: str, k: int, base: int, chunk: int = CHUNK, slack: int = SLACK) -
 
 
 def text_statistics(docs: DataFrame, common_words: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, the statistics of ``text`` and its ``kind`` (prose, list, table, junk) for every row of ``docs``; repeated rows stay repeated.
+    """doc_id, the statistics of ``text`` and its ``kind`` (prose, list, table, junk) for every row of ``docs``; repeated rows stay repeated. Phrases are counted within chunks.
 
     A null text counts as an empty one, which is junk of no words. ``common_words`` (lang, word) may be empty: then no word is common. Only ``doc_id`` and
     ``text`` are read, so other columns may have any names. Every text is read whole; those longer than a chunk are cut, spread over all tasks and merged.
@@ -277,21 +317,23 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, chunk: int = CHUNK
         common.setdefault(lang or "", set()).add(word.lower())
     schema = "doc_id long, " + ", ".join(f"{c} double" for c in STATISTICS) + ", kind string"
 
-    def rows(ids: list, parts: list[Partial]) -> pd.DataFrame:
-        got = [finish(p) for p in parts]
+    def rows(ids: list, got: list[dict[str, float]]) -> pd.DataFrame:
         out = pd.DataFrame(got, columns=STATISTICS)
         out.insert(0, "doc_id", ids)
         out["kind"] = [kind(r) for r in got]
         return out
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counting = Counting(common)
         for b in batches:
-            yield rows(b["doc_id"].tolist(), [count_chunk(t or "", common) for t in b["text"]])
+            yield rows(b["doc_id"].tolist(), [finish(counting.count(t or "")) for t in b["text"]])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counting = Counting(common)
         for b in batches:
-            cut = [_cut(t, k, base, chunk) for t, k, base in zip(b["piece"], b["seq"], b["base"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "row": b["row"], "seq": b["seq"], "state": [pickle.dumps(count_chunk(t, common, before)) for t, before in cut]})
+            got = [counting.count(*_cut(t, k, base, chunk)) for t, k, base in zip(b["piece"], b["seq"], b["base"])]
+            states = [pickle.dumps(p._replace(words={}, phrases=p.phrases[:0])) for p in got]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "row": b["row"], "seq": b["seq"], "state": states, "words": [[{"h": h, "n": n} for h, n in p.words.items()] for p in got], "phrases": [p.phrases.view(np.int64).tolist() for p in got]})
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -306,23 +348,27 @@ def text_statistics(docs: DataFrame, common_words: DataFrame, chunk: int = CHUNK
 
     def done(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield rows(b["doc_id"].tolist(), [pickle.loads(s) for s in b["state"]])
+            yield rows(b["doc_id"].tolist(), [finish(pickle.loads(s), t, d) for s, t, d in zip(b["state"], b["top"].tolist(), b["n_distinct"].tolist())])
 
     base = docs.select("doc_id", "text")
     size = F.length("text")
     small = base.where(size.isNull() | (size <= chunk)).mapInPandas(whole, schema)
     large = base.where(size > chunk).withColumn("row", F.monotonically_increasing_id())
-    longest = base.agg(F.max(size)).first()[0] or 0
-    if longest <= chunk:
-        return small
     seq = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / chunk))).alias("seq")
     start = F.greatest(F.col("seq") * chunk - 1, F.lit(0))
     pieces = large.select("doc_id", "row", "text", seq).select("doc_id", "row", "seq", start.alias("base"), F.substring("text", start.cast("int") + 1, chunk + SLACK + 2).alias("piece"))
     state = "doc_id long, row long, seq long, state binary"
-    parts = spread(pieces).mapInPandas(partial, state)
-    chunks = (longest - 1) // chunk + 1
+    counted = write_shared(spread(pieces).mapInPandas(partial, state + ", words array<struct<h:long,n:long>>, phrases array<long>"), "chunks")
+    last = counted.agg(F.max("seq")).first()[0]
+    if last is None:
+        return small
+    # words and phrases of a long text are counted by hash over all tasks, so that none holds them all
+    top = counted.select("row", F.explode("words").alias("w")).groupBy("row", "w.h").agg(F.sum("w.n").alias("n")).groupBy("row").agg(F.max("n").alias("top"))
+    distinct = counted.select("row", F.explode("phrases").alias("h")).distinct().groupBy("row").agg(F.count("*").alias("n_distinct"))
+    parts, chunks = counted.select("doc_id", "row", "seq", "state"), last + 1
     while chunks > 1:
         groups = parts.groupBy("doc_id", "row", F.floor(F.col("seq") / FANOUT).alias("up")).agg(F.collect_list(F.struct("seq", "state")).alias("parts"))
         parts = groups.mapInPandas(merged, state)
         chunks = -(-chunks // FANOUT)
-    return small.unionByName(write_shared(parts.mapInPandas(done, schema), "long-texts"))
+    found = parts.join(top, "row", "left").join(distinct, "row", "left").fillna(0, ["top", "n_distinct"])
+    return small.unionByName(write_shared(found.select("doc_id", "state", "top", "n_distinct").mapInPandas(done, schema), "long-texts"))
