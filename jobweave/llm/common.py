@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.session import write_shared
+from jobweave.session import discard, write_shared
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -23,7 +23,7 @@ def bounded(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reached) for the undirected edges ``a``, ``b``.
 
     Alternating large-star and small-star: every node's neighbours are hung on the smallest one, until nothing changes. A node with a third of all
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
     and repeated edges are allowed; an empty input gives an empty result.
     """
     e = write_shared(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    for _ in range(most):
+    while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
@@ -40,9 +40,8 @@ def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
         small = up.join(least, "x").select(F.col("m").alias("a"), F.explode(F.array("x", "y")).alias("b")).where("a <> b").distinct()
         new = write_shared(small, "edges")
         change = new.join(e, ["a", "b"], "left_anti").limit(1).count() + e.join(new, ["a", "b"], "left_anti").limit(1).count()
+        discard(e)
         e = new
         if not change:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

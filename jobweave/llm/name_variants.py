@@ -75,8 +75,7 @@ def link_names(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
 
     ``aliases`` (alias, canonical) is the nickname table: a name whose plain form is an alias is read as its canonical name. Null and blank names have no
     row. Names without any letter or digit are entities of their own. Repeated rows count once. A name without its trade that fits several organisations
-    stays alone, so that it cannot tie them together. Empty tables give an empty result; only the named columns are read. Names longer than 400
-    characters are read from their start.
+    stays alone, so that it cannot tie them together. Empty tables give an empty result; only the named columns are read.
     """
     distinct = names.select("name").where(F.trim("name") != "").distinct()
     if aliases is not None:

@@ -75,7 +75,7 @@ def read_name(text: str | None) -> tuple[tuple[str, ...], str]:
     """
     if not text or not text.strip():
         return (), ""
-    text = text[:400].replace("&amp;", "&").replace("&#39;", "'").replace("’", "'")
+    text = text.replace("&amp;", "&").replace("&#39;", "'").replace("’", "'")
     text = re.sub(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ][a-zà-ÿ])", " ", text)
     plus = " + " in text
     t = fold(text)
@@ -132,7 +132,7 @@ def same_name(a: tuple[tuple[str, ...], str], b: tuple[tuple[str, ...], str]) ->
 
 
 def codes(word: str) -> set[str]:
-    """Phonetic code of a word, and the code with each one sign left out, so that a lost or changed consonant still meets."""
+    """Phonetic code of a word, and the code with each one sign left out, so that a lost or changed consonant still meets. Codes end after six signs, so that a word and one cut short meet: blocks get coarser by it, and none loses a pair."""
     c = skeleton(word.rstrip("*"))[:6]
     out = {c} | {c[:k] + c[k + 1 :] for k in range(len(c))}
     return {x for x in out if len(x) > (len(c) > 3)} or {c}

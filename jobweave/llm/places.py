@@ -27,9 +27,13 @@ _TOKEN = re.compile(r"[a-z0-9.'#+]+|[^a-z0-9.'#+\s]")
 
 @dataclass
 class Places:
-    """The reference list and its index. ``rows``: (location_id, city, state_code, state_name, short_name); a row without a city is the remote one."""
+    """The reference list, or a part of it, and its index. ``rows``: (location_id, city, state_code, state_name, short_name); a row without a city is the remote one.
+
+    ``whole`` has what a part must know of the whole list (``Whole``), so that it reads a text as the whole list does as far as its own entries go.
+    """
 
     rows: list[tuple]
+    whole: "Whole | None" = None
     forms: list[str] = field(default_factory=list)
 
     def __post_init__(self):
@@ -52,8 +56,12 @@ class Places:
         self.forms = sorted(self.by_form)
         self.joined = [f.replace(" ", "") for f in self.forms]
         self.exact = {j: k for k, j in enumerate(self.joined)}
-        self.index = NgramIndex(self.joined)
-        self.city_words = words
+        self.longest = max(map(len, self.joined), default=0)
+        self.index = NgramIndex(self.joined, *((self.whole.df, self.whole.total) if self.whole else ()))
+        self.city_words = words | (self.whole.city_words if self.whole else set())
+        self.state_of |= self.whole.states if self.whole else {}
+        self.remote = self.remote or (self.whole.remote if self.whole else [])
+        self.met: set[int] = set()
         # all states, also those without an entry, so that they are not taken for parts of a name
         self.state_of = {k: v for k, v in ({n: c for n, c in STATES.items()} | {c: c for c in STATES.values()} | self.state_of).items()}
         self.long_states = [s for s in self.state_of if len(s) > 4]
@@ -69,8 +77,13 @@ class Places:
         cut = words[-1].endswith(".") and len(words[-1]) > 4
         words = [w.strip(".'") for w in words]
         name = "".join(WORDS.get(w, w) for w in words)
-        if len(name) < 3:
+        if len(name) < 3 or len(name) > self.longest + 2:
             return [], False
+        ids, tie = self._match(name, cut)
+        self.met.update(ids)
+        return ids, tie
+
+    def _match(self, name: str, cut: bool) -> tuple[list[int], bool]:
         if name in self.exact:
             return self.by_form[self.forms[self.exact[name]]], False
         if cut:
@@ -78,7 +91,7 @@ class Places:
             ids = sorted({i for k in hits for i in self.by_form[self.forms[k]]})
             return ids, len({self.info[i][0] for i in ids}) > 1
         allowed = 1 if len(name) < 7 else 2
-        near = [(edits(name, self.joined[k], allowed), -s, k) for k, s in self.index.search(name, 12) if s >= THRESHOLD]
+        near = [(edits(name, self.joined[k], allowed), -s, k) for k, s in self.index.search(name) if s >= THRESHOLD and abs(len(self.joined[k]) - len(name)) <= allowed]
         near = sorted(x for x in near if x[0] <= allowed and len(self.joined[x[2]]) > 4)
         if not near:
             return [], False
@@ -104,7 +117,7 @@ class Places:
         if text not in self.cache:
             if len(self.cache) > 200_000:
                 self.cache.clear()
-            self.cache[text] = self._read(fold(text[:2000]) if len(text) > 2000 else fold(text))
+            self.cache[text] = self._read(fold(text))
         return self.cache[text]
 
     def _read(self, t: str) -> tuple[int, tuple[int, ...]]:
@@ -159,6 +172,10 @@ class Places:
         found: list[tuple[list[int], bool]] = []
         leftover = 0
         for run in [r for r in runs if r]:
+            # neither a name and a state nor two names are as long as this
+            if sum(len(w.strip(".'")) for w in run) > 2 * self.longest + 40:
+                leftover += 1
+                continue
             ids, tie = self.match(run)
             if not ids:
                 state = self.state(run)
@@ -200,6 +217,17 @@ class Places:
         return one, tuple(fit)
 
 
+@dataclass
+class Whole:
+    """What every part of a long list must know of it: n-gram counts, the number of names, states, words of cities that are names of states too, the remote entry. All of it is bounded by alphabets and states."""
+
+    df: dict[str, int]
+    total: int
+    states: dict[str, str]
+    city_words: set[str]
+    remote: list[int]
+
+
 #: Postal codes of the states of the United States.
 STATES = {
     "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de", "florida": "fl",

@@ -75,22 +75,26 @@ def grams(text: str) -> Counter:
 
 
 class NgramIndex:
-    """Inverted index of character n-grams over a list of names, searched by idf-weighted cosine."""
+    """Inverted index of character n-grams over a list of names, searched by idf-weighted cosine.
 
-    def __init__(self, names: list[str]):
+    ``df`` and ``total``: in how many names of how many each n-gram is, where ``names`` are a part of a longer list.
+    """
+
+    def __init__(self, names: list[str], df: dict[str, int] | None = None, total: int | None = None):
         self.names = names
         counts = [grams(n) for n in names]
-        df = Counter(g for c in counts for g in c)
-        self.top = math.log(1 + len(names))
-        self.idf = {g: math.log(1 + len(names) / n) for g, n in df.items()}
+        df = df or Counter(g for c in counts for g in c)
+        total = total or len(names)
+        self.top = math.log(1 + total)
+        self.idf = {g: math.log(1 + total / n) for g, n in df.items()}
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, c in enumerate(counts):
             norm = math.sqrt(sum((v * self.idf[g]) ** 2 for g, v in c.items())) or 1.0
             for g, v in c.items():
                 self.postings[g].append((k, v * self.idf[g] / norm))
 
-    def search(self, text: str, most: int = 5) -> list[tuple[int, float]]:
-        """The ``most`` best (position, cosine), best first; ties by position."""
+    def search(self, text: str, most: int | None = None) -> list[tuple[int, float]]:
+        """(position, cosine) of every name with a common n-gram, or of the ``most`` best, best first; ties by position."""
         scores: dict[int, float] = defaultdict(float)
         norm = 0.0
         for g, v in grams(text).items():

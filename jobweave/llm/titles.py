@@ -142,7 +142,7 @@ class Titles:
         """(signature: the sorted words of role and team, cycle or '', entries of a place named in the title)."""
         if not title or not title.strip():
             return "", "", ()
-        text = " ".join(fold(title[:1000]).replace("&amp;", "&").split())
+        text = " ".join(fold(title).replace("&amp;", "&").split())
         years, seasons = [], []
         if _DIGITS.search(text):
             for s, y in _CYCLE_SHORT.findall(text):

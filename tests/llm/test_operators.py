@@ -51,6 +51,18 @@ def test_map_locations(spark, reference, monkeypatch):
     assert sorted((r.k, r.location_id) for r in location_mapping.map_locations(rows, reference).collect()) == want
 
 
+def test_a_list_in_parts_answers_as_one(spark, reference, monkeypatch):
+    more = reference.unionByName(spark.createDataFrame([(3, "Halcyvilla, TX", "Halcyvilla", "TX", "Texas", "US", None), (4, "Mount Garnet, TX", "Mount Garnet", "TX", "Texas", "US", None), (5, "Zubrin Falls, ON", "Zubrin Falls", "ON", "Ontario", "CA", "Zub"), (6, "Mount Harnet, IL", "Mount Harnet", "IL", "Illinois", "US", None)], REF))
+    texts = ["Halcyville, TX", "Halcyvilla", "halcyvillo tx", "Mount Garnet", "Mt. Garnet, IL", "mount garnt il", "Zub", "Zubrin Fls, Ontario", "remote", "Halcyville; Zubrin Falls", "Texas", "Garnet Mount of nowhere " * 300, "Halcyv. TX", "mount harnet il halcyville tx", ""]
+    values = spark.createDataFrame([(t,) for t in texts], "value string")
+    read = lambda: {r.value: (r.location_id, tuple(sorted(r.places))) for r in location_mapping.read_values(values, more).collect()}
+    whole = read()
+    assert whole["Halcyville, TX"][0] == 1 and whole["Mount Garnet"] == (-1, (2, 4))
+    for size in (1, 2, 5):
+        monkeypatch.setattr(location_mapping, "SHARD_ROWS", size)
+        assert read() == whole, size
+
+
 # --- 5
 def test_link_names(spark):
     names = ["Quorvyne Systems", "quorvyne systems inc", "Qourvyne Systems", "Quorvyne", "Cugorebe Studios", "Cugorebe Materials", "Cugorebe", "???", "!!!", None, "  ", "Quorvyne Systems", "Komolu Software", "Komoluco Software", "QV Holdings", "y" * 5_000]
