@@ -89,6 +89,10 @@ SQL = {
     "board_postings": f"""select {_KIND} || ':' || posting_id source_name, posting_id::varchar source_job_id, title, case posting_id % 4 when 0 then coalesce("location", '') when 3 then coalesce(nullif("location", '') || ', ', '') || 'US' else "location" end "location", source_url,
   case when posting_id % 4 in (0, 3) then source_url else coalesce(direct_apply_url, source_url) end direct_apply_url from raw_postings where coalesce(title, '') <> '' and coalesce(source_url, '') <> ''""",
     "board_runs": f"select {_KIND} kind, case when coalesce(title, '') <> '' and source_url <> '' then 'SUCCESS' else 'FAILED' end status, count(*) n, count(*) filter (coalesce(title, '') <> '' and source_url <> '') fetched from raw_postings where source_url is not null group by 1, 2",
+    "document_tables": r"""with l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) x from documents),
+  p as (select doc_id, count(*) n, sum(len(string_split(regexp_replace(regexp_replace(x, '^\s*\|', ''), '\|\s*$', ''), '|'))) c from l where regexp_matches(x, '^\s*\|') and not regexp_matches(x, '^\s*\|?\s*:?-{3}') group by 1),
+  h as (select doc_id, unnest(list_transform(regexp_extract_all(text, '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: len(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>')))) c from documents where doc_id not in (select doc_id from p))
+  select doc_id::varchar source_name, n n_rows, c::bigint n_cells from p union all select doc_id::varchar, count(*), sum(c)::bigint from h where c >= 3 group by 1""",
     "stream_dedup": "select distinct event_id, event_type from events",
     "stream_tumbling": "select date_trunc('day', ts) window_start, event_type, count(*) n from events group by 1, 2 having date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 1 day",
     "stream_sessions": """with g as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 6 hour or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) k from g)

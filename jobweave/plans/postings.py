@@ -189,6 +189,14 @@ def listing_links(spark: SparkSession, d: str) -> DataFrame:
     return joins.first_listing_match(r, p)
 
 
+LISTING_SQL = f"""
+with l as (select req_id, {_N.format('employer')} n, {_W.format(_N.format('role_title'))} w, regexp_matches(role_title, '{identity.EARLY}') e from employer_requisitions where apply_link is null and employer is not null and role_title is not null),
+p as (select posting_id, {_N.format('company')} n, {_W.format(_N.format('title'))} w, regexp_matches(title, '{identity.EARLY}') e from raw_postings where company is not null and title is not null),
+m as (select a.n a, b.n b from (select distinct n from l) a, (select distinct n from p) b where a.n <> '' and b.n <> '' and (a.n = b.n or (length(a.n) > 2 and length(b.n) > 2 and (contains(a.n, b.n) or contains(b.n, a.n))))),
+r as (select n, w, e, min(posting_id) posting_id from p group by 1, 2, 3)
+select l.req_id listing_id, min(r.posting_id) posting_id from l join m on l.n = m.a join r on r.n = m.b and r.e = l.e where least(len(l.w), len(r.w)) > 0 and len(list_intersect(l.w, r.w)) >= 0.7 * least(len(l.w), len(r.w)) group by 1
+"""
+
 # --- duplicates, groups, caps ------------------------------------------------------------------------------------------------------------------------
 def local_dedupe(spark: SparkSession, d: str) -> DataFrame:
     j = _jobs(spark, d)
@@ -198,6 +206,19 @@ def local_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.greedy_dedupe(ranked, "job_id", "keys", [F.col("r1"), F.col("r2")]).select("job_id")
 
 
+DEDUPE_SQL = f"""
+with recursive j as (select *, coalesce(normalized_location, '') l, {_PARTS.format("coalesce(normalized_location, '')")} parts from {_JOBS}),
+a as (select job_id, -({_RANK.replace('direct_apply_url', 'canonical_url')}) r, -coalesce(score, 0) sc, list_distinct(list_filter(['key:' || canonical_key, case when starts_with(canonical_url, 'http') then 'url:' || canonical_url end,
+  case when trim(source_job_id) <> '' then concat_ws('|', 'req:' || normalized_company, trim(source_job_id)) end, concat_ws('|', 'tuple:' || normalized_company, normalized_title, l, cycle0),
+  case when signature <> '' then concat_ws('|', 'sig:' || normalized_company, cycle0, case when regexp_matches(l, '{identity.SEVERAL_PLACES}') or len(parts) >= 3 then '*' when len(parts) > 0 then array_to_string(parts, ' ') else l end, signature) end], lambda x: x is not null)) ks from j),
+u as (select job_id, unnest(ks) k from a), d as (select k from u group by 1 having count(*) > 1), v as (select job_id, list(k) ks from u join d using (k) group by 1), k as (select a.job_id, row_number() over (order by r, sc, a.job_id) n, v.ks from a join v using (job_id)),
+-- a row is kept if none of its keys is a kept row's; the scan goes row by row and carries the keys of kept rows
+s as (select 0::bigint n, []::varchar[] taken, null::bigint job_id union all
+  select k.n, case when list_has_any(s.taken, k.ks) then s.taken else list_concat(s.taken, k.ks) end, case when list_has_any(s.taken, k.ks) then null else k.job_id end from s join k on k.n = s.n + 1)
+select job_id from s where job_id is not null union all select job_id from a where job_id not in (select job_id from v)
+"""
+
+
 def collapse_requisitions(spark: SparkSession, d: str) -> DataFrame:
     j = _jobs(spark, d).withColumn("place", F.coalesce("normalized_location", F.lit("")))
     g = dedupe.collapse(j, F.col("requisition"), "job_id", [-F.coalesce("score", F.lit(0))], "place", ["job_id", "company", "title", "score", "normalized_company"])
@@ -399,6 +420,7 @@ SQL = {
     "unsent": f"with j as {_JOBS} select job_id, requisition from j where batch_no > 20 and (requisition is null or requisition not in (select requisition from j where batch_no <= 20 and requisition is not null))",
     "stored_match": STORED_SQL,
     "latest_source_row": "select source_name, trim(source_job_id) source_job_id, arg_max(posting_id, (ingested_at, posting_id)) posting_id, arg_max({'t': title}, (ingested_at, posting_id)).t title, max(ingested_at) ingested_at from raw_postings where trim(source_job_id) <> '' group by 1, 2",
+    "listing_links": LISTING_SQL, "local_dedupe": DEDUPE_SQL,
     "collapse_requisitions": COLLAPSE_SQL, "fair_top": FAIR_SQL, "capped_batch": CAPPED_SQL,
     "digest_sections": "select list_position(['board', 'aggregator', 'list', 'mirror'], kind)::bigint section_no, kind section, count(*) n, count(distinct normalized_company) n_companies from classified_jobs join source_profiles using (source_name) group by 1, 2",
     "batch_keys": f"with t as ({FAIR_SQL}), k as (select job_id::varchar i, accepted_at a from classified_jobs where job_id in (select job_id from t)) select strftime(max(a) at time zone 'UTC', '%Y-%m-%dT%H') || ':' || left(sha256(string_agg(i, '|' order by i)), 24) batch_key, count(*)::int n_jobs from k",
