@@ -13,7 +13,7 @@ from jobweave.llm.mixing import draw_mixes, share_report
 from jobweave.llm.name_variants import link_names, variant_pairs
 from jobweave.llm.packing import fill_report, pack_documents
 from jobweave.llm.text_quality import text_statistics
-from jobweave.session import table
+from jobweave.session import table, write_shared
 
 
 def _typed_locations(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,6 +88,27 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p8_windows(spark, folder), table(spark, folder, "pack_sizes"))
 
 
+def p8_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Per pack: windows that hold more than they may, texts cut without need, pieces that are there twice, and the texts in the windows."""
+    sizes = table(spark, folder, "pack_sizes")
+    packed = write_shared(p8_windows(spark, folder), "windows")
+    full = packed.groupBy("pack_name", "window_id").agg(F.sum("n_tokens").alias("used")).join(sizes, "pack_name").where("used > capacity_tokens").groupBy("pack_name").agg(F.count("*").alias("n_overfull"))
+    texts = packed.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), F.countDistinct("first_token").alias("places")).join(sizes, "pack_name")
+    kept = texts.groupBy("pack_name").agg(F.count("*").alias("n_texts"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("n_cut"), F.count_if(F.col("pieces") != F.col("places")).alias("n_twice"))
+    return kept.join(full, "pack_name", "left").select("pack_name", F.coalesce("n_overfull", F.lit(0).cast("long")).alias("n_overfull"), "n_cut", "n_twice", "n_texts")
+
+
+def p9_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Per mix: documents drawn too often, from a source that was not asked for, or twice, and whether every source with tokens has its share to within two points."""
+    targets = table(spark, folder, "mix_targets")
+    drawn = write_shared(p9_draw(spark, folder), "drawn")
+    asked = drawn.join(targets, ["mix_name", "source"], "left")
+    each = asked.groupBy("mix_name").agg(F.count_if(F.col("n_copies") > F.col("max_repeats")).alias("n_often"), F.count_if(F.col("max_repeats").isNull()).alias("n_stray"), (F.count("*") - F.countDistinct("doc_id")).alias("n_twice"))
+    there = share_report(drawn, targets).where("n_tokens > 0").groupBy("mix_name").agg(F.sum("target_share").alias("whole"), F.collect_list(F.struct("target_share", "actual_share")).alias("s"))
+    kept = there.select("mix_name", F.forall("s", lambda x: F.abs(x["target_share"] / F.col("whole") - x["actual_share"]) <= 0.02).alias("shares_kept"))
+    return each.join(kept, "mix_name")
+
+
 def p9_draw(spark: SparkSession, folder: str) -> DataFrame:
     return draw_mixes(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
@@ -109,5 +130,10 @@ b as (select group_id, f, min(tr) tr, max(s) s, max(z) z from v group by 1, 2)
 select v.group_id, v.f field_name, min(v.c) copy_id from v join b on v.group_id = b.group_id and v.f = b.f and v.tr = b.tr and v.s = b.s and v.z = b.z join d on d.group_id = v.group_id and d.f = v.f group by 1, 2
 """
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_matches": p7_matches, "p8_windows": p8_windows, "p8_fill": p8_fill, "p9_draw": p9_draw, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
-SQL: dict[str, str] = {"p6_found": P6_SQL}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_matches": p7_matches, "p8_windows": p8_windows, "p8_fill": p8_fill, "p8_faults": p8_faults, "p9_draw": p9_draw, "p9_shares": p9_shares, "p9_faults": p9_faults, "p10_found": p10_found, "p10_statistics": p10_statistics}
+SQL: dict[str, str] = {
+    "p6_found": P6_SQL,
+    # what must hold of any packing and draw
+    "p8_faults": "select pack_name, 0::bigint n_overfull, 0::bigint n_cut, 0::bigint n_twice, (select count(distinct doc_id) from documents where text <> '') n_texts from pack_sizes",
+    "p9_faults": "select distinct mix_name, 0::bigint n_often, 0::bigint n_stray, 0::bigint n_twice, true shares_kept from mix_targets join documents using (source) where text <> ''",
+}
