@@ -49,19 +49,35 @@ _ODD = re.compile(r"[^\w\s'’.,;:!?()/&+@#*-]")
 _CODE = re.compile(r"[{}=<>$]|::|\(\)|^[0-9a-fA-F]{6,}$|^[0-9a-fA-F]{2}$|^https?://|[A-Za-z0-9+/]{24,}|\d{2}:\d{2}|\d{4}-\d{2}")
 _END = re.compile(r"[.!?…:;][\"'»”’)\]]*$")
 _PIECE = re.compile(r"\s[·|»›•–/]+\s|\s{2,}|!{2,}|[\U0001F000-\U0001FAFF☀-➿]+")
+_ENDS = re.compile("[.!?…]")
+_MARK = re.compile(r"[·|»›•–/!\U0001F000-\U0001FAFF☀-➿]")
 _STOP = re.compile(r"(?:\.+|(?<!!)!|\?|…)[\"'»”’)\]]*(?=\s|$)")
 _CELL = re.compile(r"\t|\s*\|+\s*|;|\s{3,}")
 _PAIR = re.compile(r"^[^\W\d_][\w ]{0,24}:\s+\S")
 
 
+def _spaced(text: str) -> bool:
+    """Whether all white space of a text is single blanks between its parts; most lines are like this and need no splitting."""
+    return text.count(" ") == len(text.split()) - 1
+
+
 def _cells(text: str) -> int:
+    if "|" not in text and ";" not in text and _spaced(text):
+        return 1
     return sum(1 for c in _CELL.split(text) if c)
 
 
 def _pieces(text: str) -> int:
+    if not _MARK.search(text) and _spaced(text):
+        return 1
     return sum(1 for x in _PIECE.split(text) if x.strip())
 
 
+def _bare(text: str) -> str:
+    """The text with a blank for every tag."""
+    return _TAG.sub(" ", text) if "<" in text else text
+
+
 class Line(NamedTuple):
     """A line, or a part of one: its text if short, else its two ends, and what was counted in all of it.
 
@@ -77,23 +93,25 @@ class Line(NamedTuple):
     pieces: int
 
     @staticmethod
-    def of(raw: str) -> "Line":
-        text = _TAG.sub(" ", raw)
+    def of(raw: str, text: str | None = None, words: int | None = None) -> "Line":
+        """``text`` and ``words``: the line without tags and its number of words, where they are known."""
+        text = _bare(raw) if text is None else text
+        words = len(_WORD.findall(text)) if words is None else words
         long = len(raw) > 2 * KEPT
         ends = (raw[:KEPT], raw[-KEPT:]) if long else (raw, "")
-        return Line(*ends, len(_WORD.findall(text)), len(_STOP.findall(text)), _cells(raw) if long else 0, _pieces(text) if long else 0)
+        return Line(*ends, words, len(_STOP.findall(text)) if _ENDS.search(text) else 0, _cells(raw) if long else 0, _pieces(text) if long else 0)
 
     def counted(self) -> tuple[int, int]:
         """The cells and pieces of this part, as it stands."""
-        return (self.cells, self.pieces) if self.end else (_cells(self.start), _pieces(_TAG.sub(" ", self.start)))
+        return (self.cells, self.pieces) if self.end else (_cells(self.start), _pieces(_bare(self.start)))
 
     def whole(self) -> tuple[int, int]:
         """The cells and pieces of a whole line, without what is blank (or a bar, for cells) at either end."""
         if not self.end:
-            return _cells(self.start.strip().strip("|").strip()), _pieces(_TAG.sub(" ", self.start.strip()).strip())
+            return _cells(self.start.strip().strip("|").strip()), _pieces(_bare(self.start.strip()).strip())
         start, end = self.start.lstrip(), self.end.rstrip()
         cells = self.cells - _cells(self.start) + _cells(start.lstrip("|").lstrip()) - _cells(self.end) + _cells(end.rstrip("|").rstrip())
-        a, b = _TAG.sub(" ", self.start), _TAG.sub(" ", self.end)
+        a, b = _bare(self.start), _bare(self.end)
         return cells, self.pieces - _pieces(a) + _pieces(a.lstrip()) - _pieces(b) + _pieces(b.rstrip())
 
     def then(self, other: "Line") -> "Line":
@@ -105,9 +123,9 @@ class Line(NamedTuple):
             ends = (self.start + right, "")
         else:
             ends = ((self.start if self.end else self.start + right)[:KEPT], ((left if other.end == "" else "") + (other.end or right))[-KEPT:])
-            (c, p), (d, q), tagless = self.counted(), other.counted(), _TAG.sub(" ", left + right)
+            (c, p), (d, q), tagless = self.counted(), other.counted(), _bare(left + right)
             cells = c + d + _cells(left + right) - _cells(left) - _cells(right)
-            pieces = p + q + _pieces(tagless) - _pieces(_TAG.sub(" ", left)) - _pieces(_TAG.sub(" ", right))
+            pieces = p + q + _pieces(tagless) - _pieces(_bare(left)) - _pieces(_bare(right))
         return Line(*ends, self.words + other.words - split_word, self.stops + other.stops, cells, pieces)
 
 
@@ -116,9 +134,9 @@ def _add(counts: np.ndarray, line: Line) -> None:
     bare = line.start.strip() if not line.end else line.start.lstrip()
     if not bare and not line.end:
         return
-    text, words, stops = _TAG.sub(" ", bare), line.words, line.stops
+    text, words, stops = _bare(bare), line.words, line.stops
     counts[_AT["lines"]] += 1
-    ends = bool(_END.search(_TAG.sub(" ", line.end or text).rstrip()))
+    ends = bool(_END.search(_bare(line.end or text).rstrip()))
     counts[_AT["line_ends"]] += ends
     cells, pieces = line.whole()
     if cells >= 3 and (not stops or cells > 4) and words / cells < 9:
@@ -179,8 +197,11 @@ class Counting:
     def count(self, text: str, before: str = "") -> Partial:
         """Partial counts of a chunk; ``before`` is the character before it, by which a word that began in the neighbour is not counted again."""
         counts = np.zeros(len(COUNTS), dtype=np.int64)
-        clean = _TAG.sub(" ", text)
-        words = _WORD.findall(clean)
+        raw = text.split("\n")
+        bare = [_bare(x) for x in raw] if "<" in text else raw  # no tag and no word goes beyond a line
+        found = [_WORD.findall(x) for x in bare]
+        lines = [Line.of(x, y, len(ws)) for x, y, ws in zip(raw, bare, found)]
+        clean, words = "\n".join(bare), [w for ws in found for w in ws]
         letters = sum(map(len, words))
         if words and before.isalpha() and clean[:1].isalpha():
             words = words[1:]
@@ -209,15 +230,14 @@ class Counting:
         totals = {
             "chars": len(text), "letters": letters, "digits": sum(map(clean.count, "0123456789")), "symbols": len(clean) - sum(map(len, _PLAIN.findall(clean))),
             "words": len(words), "word_chars": letters, "upper_words": upper, "tokens": len(tokens), "odd_tokens": len(_BEFORE.findall(clean)),
-            "damaged": len(_DAMAGE.findall(clean)) if _ODD.search(clean) else 0, "long_tokens": long_tokens, "code_tokens": code, "ends": len(_STOP.findall(clean)),
+            "damaged": len(_DAMAGE.findall(clean)) if _ODD.search(clean) else 0, "long_tokens": long_tokens, "code_tokens": code, "ends": sum(x.stops for x in lines),
             "commas": clean.count(","), "phrases": max(len(words) - 4, 0),
         }
         for k, v in totals.items():
             counts[_AT[k]] = v
-        lines = text.split("\n")
         for x in lines[1:-1]:
-            _add(counts, Line.of(x))
-        return Partial(counts, common, many, phrases, Line.of(lines[0]) if len(lines) > 1 else None, Line.of(lines[-1]))
+            _add(counts, x)
+        return Partial(counts, common, many, phrases, lines[0] if len(lines) > 1 else None, lines[-1])
 
 
 def count_chunk(text: str, common: dict[str, set], before: str = "") -> Partial:
