@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.functions.instants import clean_space
@@ -11,13 +11,27 @@ from jobweave.operators.snapshots import snapshot_changes
 from jobweave.session import table
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+def _snapshot_values() -> dict[str, Column]:
     text = lambda c: clean_space(F.col(c))
     status = lambda c: F.upper(F.coalesce(F.nullif(text(c), F.lit("")), F.lit("OPEN")))
-    values = {c: text(c) for c in ("title", "location", "direct_apply_url")} | {c: status(c) for c in ("status", "state_status")}
-    found = snapshot_changes(table(spark, folder, "job_snapshots"), table(spark, folder, "source_runs"), values)
+    return {c: text(c) for c in ("title", "location", "direct_apply_url")} | {c: status(c) for c in ("status", "state_status")}
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _changes(spark, folder, False).select("snapshot_no", "source_name", "source_job_id", "change_kind")
+
+
+def p3_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes with what each field was and is."""
+    return _changes(spark, folder, True)
+
+
+def _changes(spark: SparkSession, folder: str, full: bool) -> DataFrame:
+    values = _snapshot_values()
+    found = snapshot_changes(table(spark, folder, "job_snapshots"), table(spark, folder, "source_runs"), values, full=full)
     names = table(spark, folder, "source_profiles").select(F.lower(clean_space(F.col("source_name"))).alias("source"), "source_name")
-    return found.join(names, "source", "left").select("snapshot_no", F.coalesce("source_name", "source").alias("source_name"), "source_job_id", "change_kind")
+    more = [F.coalesce(F.col(f"{side}_{c}"), F.lit("")).alias(f"{side}_{c}") for c in values for side in ("old", "new")] if full else []
+    return found.join(names, "source", "left").select("snapshot_no", F.coalesce("source_name", "source").alias("source_name"), "source_job_id", "change_kind", *more)
 
 
 P3_SQL = """
@@ -30,7 +44,7 @@ d as (select * from (select *, row_number() over (partition by source, id, snaps
 a as (select g.source, g.snapshot_no no, d.id, d.t, d.l, d.u, d.s, d.ss from good g join d using (source, snapshot_no) where previous is not null),
 b as (select g.source, g.snapshot_no no, d.id, d.t, d.l, d.u, d.s, d.ss from good g join d on d.source = g.source and d.snapshot_no = g.previous),
 x as (select coalesce(a.source, b.source) source, coalesce(a.no, b.no) snapshot_no, coalesce(a.id, b.id) source_job_id,
-  case when b.id is null then 'added' when a.id is null then 'removed' when (a.t, a.l, a.u, a.s, a.ss) is distinct from (b.t, b.l, b.u, b.s, b.ss) then 'changed' end change_kind
+  a.t nt, a.l nl, a.u nu, a.s ns, a.ss nss, b.t ot, b.l ol, b.u ou, b.s os, b.ss oss, case when b.id is null then 'added' when a.id is null then 'removed' when (a.t, a.l, a.u, a.s, a.ss) is distinct from (b.t, b.l, b.u, b.s, b.ss) then 'changed' end change_kind
   from a full join b on a.source = b.source and a.no = b.no and a.id = b.id)
 select snapshot_no, coalesce(p.source_name, x.source) source_name, source_job_id, change_kind from x left join source_profiles p on lower(p.source_name) = x.source where change_kind is not null
 """
@@ -42,5 +56,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return normalise_instants(rows, ["posted_at", "scraped_at"], "scraped_at", "default_zone", "date_order", ["posting_id"]).select("posting_id", "field_name", "instant_us")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
-SQL = {"p3_found": P3_SQL}
+P3_VALUES_SQL = P3_SQL.replace("source_job_id, change_kind from x", "source_job_id, change_kind, " + ", ".join(f"coalesce({side[0]}{k}, '') {side}_{c}" for c, k in (("title", "t"), ("location", "l"), ("direct_apply_url", "u"), ("status", "s"), ("state_status", "ss")) for side in ("old", "new")) + " from x")
+
+QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p4_found": p4_found}
+SQL = {"p3_found": P3_SQL, "p3_values": P3_VALUES_SQL}

@@ -54,3 +54,14 @@ def test_against_brute_force(spark, seed):
             want += [(s, n, k, "added") for k in state[n].keys() - state[p].keys()] + [(s, n, k, "removed") for k in state[p].keys() - state[n].keys()]
             want += [(s, n, k, "changed") for k in state[n].keys() & state[p].keys() if state[n][k] != state[p][k]]
     assert _run(spark, snaps, runs, 4) == sorted(want)
+
+
+def test_full_values_and_later_snapshots_only(spark):
+    runs = spark.createDataFrame(_runs([("a", no, "SUCCESS") for no in range(4)]), RUN)
+    row = lambda no, i, t, late=0: (no, T0 + timedelta(days=no, hours=late), "a", i, t, 1, "clash")
+    snaps = spark.createDataFrame([row(0, "1", "x"), row(0, "2", None), row(1, "1", "y"), row(1, "1", "z", 2), row(1, "2", ""), row(2, "2", "new"), row(3, "2", "new"), row(3, "3", "t")], SNAP)
+    values = {"title": F.trim(F.coalesce("title", F.lit("")))}
+    got = {(r.snapshot_no, r.source_job_id, r.change_kind, r.old_title, r.new_title) for r in snapshot_changes(snaps, runs, values, 2, full=True).collect()}
+    assert got == {(1, "1", "changed", "x", "z"), (2, "1", "removed", "z", None), (2, "2", "changed", "", "new"), (3, "3", "added", None, "t")}
+    late = {(r.snapshot_no, r.source_job_id, r.change_kind) for r in snapshot_changes(snaps, runs, values, 2, since=2).collect()}
+    assert late == {(3, "3", "added")} and snapshot_changes(snaps, runs, values, 2, since=3).count() == 0
