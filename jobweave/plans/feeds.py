@@ -7,33 +7,49 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.session import shared_dir, table
-from jobweave.sources.boards import read_boards
+from jobweave.session import shared_dir, table, write_shared
+from jobweave.sources.boards import STUDENT_TITLE, read_boards
 from jobweave.sources.pages import parse_table_postings, table_rows
 from jobweave.streaming import feeds
 
 
+KINDS = ["greenhouse", "lever", "ashby", "smartrecruiters", "oracle", "workday", "generic", "items"]
+_WRAP = {"greenhouse": '{{"jobs":[{}]}}', "lever": "[{}]", "ashby": '{{"jobs":[{}]}}', "smartrecruiters": '{{"content":[{}]}}', "oracle": '{{"items":[{{"requisitionList":[{}]}}]}}', "workday": '{{"jobPostings":[{}]}}', "generic": '{{"results":[{}]}}', "items": "[{}]"}
+
+
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Every raw posting as a board's payload of one record, in four formats; a missing title is a record that its board's format does not allow."""
-    r = table(spark, d, "raw_postings").where("source_url is not null")
-    k = F.pmod(F.col("posting_id"), F.lit(4))
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("greenhouse", "lever", "ashby", "smartrecruiters")]), (k + 1).cast("int"))
-    place = F.struct(F.coalesce("location", F.lit("")).alias("name"))
-    ident = F.col("posting_id").cast("string").alias("id")
-    u = F.col("source_url")
-    payload = (
-        F.when(k == 0, F.to_json(F.struct(F.array(F.struct(ident, "title", u.alias("absolute_url"), F.col("posted_at").alias("first_published"), place.alias("location"), F.col("description").alias("content"))).alias("jobs"))))
-        .when(k == 1, F.to_json(F.array(F.struct(ident, F.col("title").alias("text"), u.alias("hostedUrl"), F.col("direct_apply_url").alias("applyUrl"), F.struct("location").alias("categories")))))
-        .when(k == 2, F.to_json(F.struct(F.array(F.struct(ident, "title", "location", u.alias("jobUrl"), F.col("direct_apply_url").alias("applyUrl"))).alias("jobs"))))
-        .otherwise(F.to_json(F.struct(F.array(F.struct(ident, F.col("title").alias("name"), u.alias("ref"), F.struct(F.col("location").alias("city"), F.lit("US").alias("country")).alias("location"))).alias("content"))))
-    )
+    """Every raw posting as a record of a board's payload, in all eight formats, up to five records to a payload; a missing title or address is a record that its board's format may not allow."""
+    r = table(spark, d, "raw_postings")
+    ident, u, place = F.col("posting_id").cast("string"), F.col("source_url"), F.struct(F.coalesce("location", F.lit("")).alias("name"))
+    text, kind = F.col("description"), F.col("employment_type")
+    records = {
+        "greenhouse": F.struct(ident.alias("id"), "title", u.alias("absolute_url"), F.col("posted_at").alias("first_published"), place.alias("location"), text.alias("content")),
+        "lever": F.struct(ident.alias("id"), F.col("title").alias("text"), u.alias("hostedUrl"), F.col("direct_apply_url").alias("applyUrl"), F.unix_millis("ingested_at").alias("createdAt"), F.struct("location", kind.alias("commitment")).alias("categories"), text.alias("descriptionPlain")),
+        "ashby": F.struct(ident.alias("id"), "title", "location", F.col("posted_at").alias("publishedAt"), u.alias("jobUrl"), F.col("direct_apply_url").alias("applyUrl"), text.alias("descriptionPlain"), kind.alias("employmentType")),
+        "smartrecruiters": F.struct(ident.alias("id"), F.col("title").alias("name"), u.alias("ref"), F.col("posted_at").alias("releasedDate"), F.struct(F.col("location").alias("city"), F.lit("US").alias("country")).alias("location")),
+        "oracle": F.struct(ident.alias("Id"), F.col("title").alias("Title"), F.col("location").alias("PrimaryLocation"), F.date_format("ingested_at", "yyyy-MM-dd").alias("PostedDate"), text.alias("ShortDescriptionStr"), kind.alias("JobSchedule")),
+        "workday": F.struct(F.array(ident).alias("bulletFields"), "title", F.col("location").alias("locationsText"), F.concat(F.lit("Posted "), (F.col("posting_id") % 30).cast("string"), F.lit(" Days Ago")).alias("postedOn"), kind.alias("timeType"), F.concat(F.lit("/job/"), ident).alias("externalPath")),
+        "generic": F.struct(ident.alias("id"), "title", "location", F.lit("Posted Yesterday").alias("postedOn"), text.alias("description"), kind.alias("employmentType"), u.alias("url"), F.col("direct_apply_url").alias("applyUrl")),
+        "items": F.struct(ident.alias("id"), "title", F.struct(F.col("company").alias("name")).alias("company"), "location", F.col("posted_at").alias("postedAt"), text.alias("descriptionText"), kind.alias("employmentType"), u.alias("url"), F.col("direct_apply_url").alias("applyUrl")),
+    }
+    name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.pmod(F.col("posting_id"), F.lit(8)) + 1).cast("int"))
+    one = F.lit(None).cast("string")
+    for k in KINDS:
+        one = F.when(F.col("kind") == k, F.to_json(records[k])).otherwise(one)
+    r = r.withColumn("kind", name).select("posting_id", "kind", F.floor(F.col("posting_id") / 40).alias("group"), one.alias("record"))
+    groups = r.groupBy("kind", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("posting_id", "record"))), lambda x: x["record"]).alias("records"))
+    payload = F.lit(None).cast("string")
+    for k, wrap in _WRAP.items():
+        before, after = wrap.format("\x00").split("\x00")
+        payload = F.when(F.col("kind") == k, F.concat(F.lit(before), F.array_join("records", ","), F.lit(after))).otherwise(payload)
     none = F.lit(None).cast("string")
-    return r.select(F.concat_ws(":", kind, F.col("posting_id").cast("string")).alias("source_name"), kind.alias("kind"), "company", none.alias("host"), none.alias("site"), payload.alias("payload"), F.lit("2026-11-20T00:00:00Z").alias("scraped_at"), none.alias("profile"), F.lit(None).cast("int").alias("max_rows"))
+    rows = groups.select(F.concat_ws(":", "kind", F.col("group").cast("string")).alias("source_name"), "kind", F.lit("Acme").alias("company"), F.lit("https://h.example/").alias("host"), F.lit("S").alias("site"), payload.alias("payload"), F.lit("2026-11-20T00:00:00Z").alias("scraped_at"), none.alias("profile"), F.lit(None).cast("int").alias("max_rows"))
+    return write_shared(rows, "payloads")
 
 
 def board_postings(spark: SparkSession, d: str) -> DataFrame:
     p, _ = read_boards(_payloads(spark, d))
-    return p.select("source_name", "source_job_id", "title", "location", "source_url", "direct_apply_url")
+    return p.select("source_name", "source_job_id", "title", "company", "location", "posted_at", "description", "employment_type", "source_url", "direct_apply_url")
 
 
 def board_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +57,8 @@ def board_runs(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy(F.substring_index("source_name", ":", 1).alias("kind"), "status").agg(F.count("*").alias("n"), F.sum("fetched_count").alias("fetched"))
 
 
-_KIND = "(['greenhouse', 'lever', 'ashby', 'smartrecruiters'])[posting_id % 4 + 1]"
+_KIND = "([" + ", ".join(f"'{k}'" for k in KINDS) + "])[posting_id % 8 + 1]"
+_RECORDS = f"""(select *, posting_id % 8 k, {_KIND} || ':' || (posting_id // 40) source, coalesce(title, '') <> '' and case when posting_id % 8 < 4 then coalesce(source_url, '') <> '' when posting_id % 8 = 7 then coalesce(source_url, '') <> '' and coalesce(company, '') <> '' else true end ok from raw_postings)"""
 
 
 def document_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -85,10 +102,22 @@ def stale_events(spark: SparkSession, d: str) -> DataFrame:
     return feeds.stale_events(e, "user_id", "ts", str(until), 24)
 
 
+#: The pattern of student titles without look-around, which SQL lacks: the edges are matched as characters.
+STUDENT_SQL = STUDENT_TITLE.replace("(?<![A-Za-z0-9_])", "(?:^|[^A-Za-z0-9_])").replace("(?![A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])")
+
 SQL = {
-    "board_postings": f"""select {_KIND} || ':' || posting_id source_name, posting_id::varchar source_job_id, title, case posting_id % 4 when 0 then coalesce("location", '') when 3 then coalesce(nullif("location", '') || ', ', '') || 'US' else "location" end "location", source_url,
-  case when posting_id % 4 in (0, 3) then source_url else coalesce(direct_apply_url, source_url) end direct_apply_url from raw_postings where coalesce(title, '') <> '' and coalesce(source_url, '') <> ''""",
-    "board_runs": f"select {_KIND} kind, case when coalesce(title, '') <> '' and source_url <> '' then 'SUCCESS' else 'FAILED' end status, count(*) n, count(*) filter (coalesce(title, '') <> '' and source_url <> '') fetched from raw_postings where source_url is not null group by 1, 2",
+    "board_postings": f"""with r as {_RECORDS}, g as (select source, bool_and(ok) whole from r group by 1)
+  select source source_name, posting_id::varchar source_job_id, title, case when k = 7 then company else 'Acme' end company,
+  case k when 0 then coalesce("location", '') when 3 then coalesce(nullif("location", '') || ', ', '') || 'US' when 5 then coalesce(nullif("location", ''), 'Unspecified') when 6 then coalesce(nullif("location", ''), 'Unspecified') when 7 then nullif("location", '') else "location" end "location",
+  case when k in (0, 2, 3) then posted_at when k = 7 then nullif(posted_at, '') when k = 1 then strftime(ingested_at at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') when k = 4 then strftime(ingested_at at time zone 'UTC', '%Y-%m-%d') || 'T00:00:00.000Z'
+    when k = 5 then strftime(date '2026-11-19' - (posting_id % 30)::int, '%Y-%m-%d') || 'T00:00:00.000Z' else '2026-11-18T00:00:00.000Z' end posted_at,
+  case when k = 0 then case when regexp_matches(title, '{STUDENT_SQL}') then description end when k in (1, 2) then description when k in (4, 6, 7) then nullif(description, '') end description,
+  case when k = 0 then 'Internship' when k in (1, 2, 4) then employment_type when k in (5, 6, 7) then nullif(employment_type, '') end employment_type,
+  case k when 4 then 'https://h.example/hcmUI/CandidateExperience/en/sites/S/job/' || posting_id when 5 then 'https://h.example/en-US/S/job/' || posting_id when 6 then coalesce(nullif(source_url, ''), 'https://h.example/') else source_url end source_url,
+  case k when 1 then coalesce(direct_apply_url, source_url) when 2 then coalesce(direct_apply_url, source_url) when 4 then 'https://h.example/hcmUI/CandidateExperience/en/sites/S/job/' || posting_id when 5 then 'https://h.example/en-US/S/job/' || posting_id
+    when 6 then nullif(direct_apply_url, '') when 7 then nullif(direct_apply_url, '') else source_url end direct_apply_url
+  from r join g using (source) where case when k < 5 then whole else ok end""",
+    "board_runs": f"with r as {_RECORDS}, g as (select source, any_value(k) k, bool_and(ok) whole, count(*) n from r group by 1) select split_part(source, ':', 1) kind, case when k < 5 and not whole then 'FAILED' else 'SUCCESS' end status, count(*) n, sum(case when k < 5 and not whole then 0 else n end)::bigint fetched from g group by 1, 2",
     "document_tables": r"""with l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) x from documents),
   p as (select doc_id, count(*) n, sum(len(string_split(regexp_replace(regexp_replace(x, '^\s*\|', ''), '\|\s*$', ''), '|'))) c from l where regexp_matches(x, '^\s*\|') and not regexp_matches(x, '^\s*\|?\s*:?-{3}') group by 1),
   h as (select doc_id, unnest(list_transform(regexp_extract_all(text, '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: len(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>')))) c from documents where doc_id not in (select doc_id from p))
