@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.session import shared_dir, table, write_shared
 from jobweave.sources.boards import STUDENT_TITLE, read_boards
-from jobweave.sources.pages import parse_table_postings, table_rows
+from jobweave.sources.pages import page_runs, parse_cards, parse_link_postings, parse_table_postings, table_rows
 from jobweave.streaming import feeds
 
 
@@ -72,6 +72,42 @@ def document_postings(spark: SparkSession, d: str) -> DataFrame:
     return parse_table_postings(docs).select("source_name", "title", "company", "location", "posted_at", "direct_apply_url")
 
 
+def _pages(rows: DataFrame, item: Column, before: str = "", size: int = 25) -> DataFrame:
+    """Pages of up to ``size`` items each (posting_id, source_name and the item's HTML), as documents; page breaks follow posting_id."""
+    page = F.floor(F.col("posting_id") / size)
+    d = rows.select("source_name", page.alias("page"), "posting_id", item.alias("item")).groupBy("source_name", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("posting_id", "item"))), lambda x: x["item"]), "\n").alias("items"))
+    return d.select("source_name", F.concat(F.lit("https://lists.example/"), F.lpad(F.col("page").cast("string"), 20, "0")).alias("url"), F.lit(None).cast("string").alias("cycle_hint"), F.lit("2026-11-20T00:00:00Z").alias("scraped_at"), F.concat(F.lit(before), "items").alias("document"))
+
+
+def _card_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every raw posting as a card; the id of a card is that of its posting but for every tenth, which repeats the one before."""
+    r = table(spark, d, "raw_postings")
+    ident = (F.col("posting_id") - F.when(F.col("posting_id") % 10 == 9, 1).otherwise(0)).cast("string")
+    part = lambda c: F.coalesce(F.replace(F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("(")), F.lit(">"), F.lit(")")), F.lit(""))
+    card = F.concat(F.lit('<li><div data-entity-urn="urn:li:jobPosting:'), ident, F.lit('"><h3 class="base-search-card__title">'), part("title"), F.lit('</h3><h4 class="base-search-card__subtitle"><a>'), part("company"), F.lit('</a></h4><span class="job-search-card__location">'), part("location"), F.lit('</span><time datetime="'), F.date_format("ingested_at", "yyyy-MM-dd"), F.lit('"></time></div></li>'))
+    return _pages(r, card)
+
+
+def card_postings(spark: SparkSession, d: str) -> DataFrame:
+    return parse_cards(_card_documents(spark, d)).select("source_name", "source_job_id", "title", "company", "location", "posted_at", "source_url")
+
+
+def link_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Every direct link of a raw posting in a page of links, a few of them repeated; short labels are titled by the text around."""
+    u = F.col("direct_apply_url")
+    r = table(spark, d, "raw_postings").where(u.startswith("http") & ~u.rlike(r'["<>&\s]'))
+    label = F.concat(F.lit("Position "), F.col("posting_id").cast("string"))
+    anchor = F.concat(F.lit('<p><a href="'), "direct_apply_url", F.lit('">'), label, F.lit("</a></p>"))
+    again = F.when(F.col("posting_id") % 7 == 0, F.concat(anchor, F.lit('<a href="'), F.col("direct_apply_url"), F.lit('">again, later</a>'))).otherwise(anchor)
+    return parse_link_postings(_pages(r, again)).select("source_name", "title", "company", "source_url", "direct_apply_url")
+
+
+def page_run_states(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of pages of cards, where the mark-up of every third source has changed."""
+    docs = _card_documents(spark, d).withColumn("document", F.when(F.length("source_name") % 3 == 0, F.replace("document", F.lit("<li>"), F.lit("<div>"))).otherwise(F.col("document")))
+    return page_runs(docs, parse_cards(docs), 2_000).select("source_name", "status", "fetched_count")
+
+
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Run a stream over what there is, into a folder of the shared one, and read it."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -102,6 +138,9 @@ def stale_events(spark: SparkSession, d: str) -> DataFrame:
     return feeds.stale_events(e, "user_id", "ts", str(until), 24)
 
 
+_CARD_TEXT = "trim(regexp_replace(replace(replace(coalesce({0}, ''), '<', '('), '>', ')'), '\\s+', ' ', 'g'))"
+_CARDS = f"""with f as (select posting_id, source_name, (posting_id - (posting_id % 10 = 9)::int)::varchar id, {_CARD_TEXT.format('title')} t, {_CARD_TEXT.format('company')} c, {_CARD_TEXT.format('"location"')} l, strftime(ingested_at at time zone 'UTC', '%Y-%m-%d') || 'T00:00:00.000Z' d, repeat('x', 200) card from raw_postings)"""
+
 #: The pattern of student titles without look-around, which SQL lacks: the edges are matched as characters.
 STUDENT_SQL = STUDENT_TITLE.replace("(?<![A-Za-z0-9_])", "(?:^|[^A-Za-z0-9_])").replace("(?![A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])")
 
@@ -118,6 +157,11 @@ SQL = {
     when 6 then nullif(direct_apply_url, '') when 7 then nullif(direct_apply_url, '') else source_url end direct_apply_url
   from r join g using (source) where case when k < 5 then whole else ok end""",
     "board_runs": f"with r as {_RECORDS}, g as (select source, any_value(k) k, bool_and(ok) whole, count(*) n from r group by 1) select split_part(source, ':', 1) kind, case when k < 5 and not whole then 'FAILED' else 'SUCCESS' end status, count(*) n, sum(case when k < 5 and not whole then 0 else n end)::bigint fetched from g group by 1, 2",
+    "card_postings": _CARDS + " select source_name, id source_job_id, t title, c company, case when l = '' then 'Unspecified' else l end \"location\", d posted_at, 'https://www.linkedin.com/jobs/view/' || id source_url from f where t <> '' and c <> '' qualify row_number() over (partition by source_name, id order by posting_id) = 1",
+    "page_run_states": _CARDS + """, s as (select source_name, count(*) n from (select distinct source_name, id from f where t <> '' and c <> '') group by 1), z as (select source_name, sum(length(card)) size from f group by 1)
+  select source_name, case when length(source_name) % 3 = 0 and size > 2000 then 'FAILED' else 'SUCCESS' end status, case when length(source_name) % 3 = 0 then 0 else coalesce(n, 0) end::bigint fetched_count from z left join s using (source_name)""",
+    "link_postings": """with r as (select * from raw_postings where direct_apply_url like 'http%' and not regexp_matches(direct_apply_url, '["<>&\\s]') and regexp_matches(direct_apply_url, '(?i)job|career|apply|greenhouse|lever|ashby|workday|smartrecruiters'))
+  select source_name, 'Position ' || posting_id title, 'Unverified company' company, 'https://lists.example/' || lpad((posting_id // 25)::varchar, 20, '0') source_url, direct_apply_url from r qualify row_number() over (partition by source_name, posting_id // 25, direct_apply_url order by posting_id) = 1""",
     "document_tables": r"""with l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) x from documents),
   p as (select doc_id, count(*) n, sum(len(string_split(regexp_replace(regexp_replace(x, '^\s*\|', ''), '\|\s*$', ''), '|'))) c from l where regexp_matches(x, '^\s*\|') and not regexp_matches(x, '^\s*\|?\s*:?-{3}') group by 1),
   h as (select doc_id, unnest(list_transform(regexp_extract_all(text, '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: len(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>')))) c from documents where doc_id not in (select doc_id from p))
@@ -129,4 +173,4 @@ SQL = {
     "stale_events": """with g as (select user_id, ts, lag(ts) over w b, lead(ts) over w a from events window w as (partition by user_id order by ts))
   select user_id, 'OPENED' event, ts "at" from g where b is null or ts > b + interval 24 hour union all select user_id, 'CLOSED', ts + interval 24 hour from g where coalesce(a, (select max(ts) from events)) > ts + interval 24 hour""",
 }
-QUERIES = {"board_postings": board_postings, "board_runs": board_runs, "document_tables": document_tables, "document_postings": document_postings, "stream_dedup": stream_dedup, "stream_tumbling": stream_tumbling, "stream_sessions": stream_sessions, "stale_events": stale_events}
+QUERIES = {"board_postings": board_postings, "board_runs": board_runs, "card_postings": card_postings, "link_postings": link_postings, "page_run_states": page_run_states, "document_tables": document_tables, "document_postings": document_postings, "stream_dedup": stream_dedup, "stream_tumbling": stream_tumbling, "stream_sessions": stream_sessions, "stale_events": stale_events}
