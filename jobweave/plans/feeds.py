@@ -105,7 +105,7 @@ def link_postings(spark: SparkSession, d: str) -> DataFrame:
 def page_run_states(spark: SparkSession, d: str) -> DataFrame:
     """Runs of pages of cards, where the mark-up of every third source has changed."""
     docs = _card_documents(spark, d).withColumn("document", F.when(F.length("source_name") % 3 == 0, F.replace("document", F.lit("<li>"), F.lit("<div>"))).otherwise(F.col("document")))
-    return page_runs(docs, parse_cards(docs), 2_000).select("source_name", "status", "fetched_count")
+    return page_runs(docs, parse_cards(docs), 0).select("source_name", "status", "fetched_count")
 
 
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ SQL = {
     "board_runs": f"with r as {_RECORDS}, g as (select source, any_value(k) k, bool_and(ok) whole, count(*) n from r group by 1) select split_part(source, ':', 1) kind, case when k < 5 and not whole then 'FAILED' else 'SUCCESS' end status, count(*) n, sum(case when k < 5 and not whole then 0 else n end)::bigint fetched from g group by 1, 2",
     "card_postings": _CARDS + " select source_name, id source_job_id, t title, c company, case when l = '' then 'Unspecified' else l end \"location\", d posted_at, 'https://www.linkedin.com/jobs/view/' || id source_url from f where t <> '' and c <> '' qualify row_number() over (partition by source_name, id order by posting_id) = 1",
     "page_run_states": _CARDS + """, s as (select source_name, count(*) n from (select distinct source_name, id from f where t <> '' and c <> '') group by 1), z as (select source_name, sum(length(card)) size from f group by 1)
-  select source_name, case when length(source_name) % 3 = 0 and size > 2000 then 'FAILED' else 'SUCCESS' end status, case when length(source_name) % 3 = 0 then 0 else coalesce(n, 0) end::bigint fetched_count from z left join s using (source_name)""",
+  select source_name, case when length(source_name) % 3 = 0 and size > 0 then 'FAILED' else 'SUCCESS' end status, case when length(source_name) % 3 = 0 then 0 else coalesce(n, 0) end::bigint fetched_count from z left join s using (source_name)""",
     "link_postings": """with r as (select * from raw_postings where direct_apply_url like 'http%' and not regexp_matches(direct_apply_url, '["<>&\\s]') and regexp_matches(direct_apply_url, '(?i)job|career|apply|greenhouse|lever|ashby|workday|smartrecruiters'))
   select source_name, 'Position ' || posting_id title, 'Unverified company' company, 'https://lists.example/' || lpad((posting_id // 25)::varchar, 20, '0') source_url, direct_apply_url from r qualify row_number() over (partition by source_name, posting_id // 25, direct_apply_url order by posting_id) = 1""",
     "document_tables": r"""with l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) x from documents),
