@@ -99,13 +99,14 @@ def p8_faults(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_faults(spark: SparkSession, folder: str) -> DataFrame:
-    """Per mix: documents drawn too often, from a source that was not asked for, or twice, and whether every source with tokens has its share to within two points."""
+    """Per mix: documents drawn too often, from a source that was not asked for, or twice, and whether every source with tokens has its share to within two points or the largest document drawn."""
     targets = table(spark, folder, "mix_targets")
     drawn = write_shared(p9_draw(spark, folder), "drawn")
     asked = drawn.join(targets, ["mix_name", "source"], "left")
     each = asked.groupBy("mix_name").agg(F.count_if(F.col("n_copies") > F.col("max_repeats")).alias("n_often"), F.count_if(F.col("max_repeats").isNull()).alias("n_stray"), (F.count("*") - F.countDistinct("doc_id")).alias("n_twice"))
     there = share_report(drawn, targets).where("n_tokens > 0").groupBy("mix_name").agg(F.sum("target_share").alias("whole"), F.collect_list(F.struct("target_share", "actual_share")).alias("s"))
-    kept = there.select("mix_name", F.forall("s", lambda x: F.abs(x["target_share"] / F.col("whole") - x["actual_share"]) <= 0.02).alias("shares_kept"))
+    grain = drawn.groupBy("mix_name").agg((F.max("n_tokens") / F.sum(F.col("n_tokens") * F.col("n_copies"))).alias("grain"))
+    kept = there.join(grain, "mix_name").select("mix_name", F.forall("s", lambda x: F.abs(x["target_share"] / F.col("whole") - x["actual_share"]) <= F.greatest(F.lit(0.02), F.col("grain"))).alias("shares_kept"))
     return each.join(kept, "mix_name")
 
 
