@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from jobweave.session import write_shared
+from jobweave.session import discard, write_shared
+
+#: Keys of undecided rows that one task scans; about 100 bytes each.
+SCAN_KEYS = 200_000
 
 
 def distinct_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -29,22 +35,46 @@ def greedy_dedupe(rows: DataFrame, ident: str, keys: str, order: list) -> DataFr
 
     This is the lexicographically first maximal independent set, not connected components: a row that is dropped claims none of its keys. Each round keeps
     the rows that are the best undecided one under all their keys and drops the undecided rows that share a key with them, so every chain of conflicts
-    shrinks; rows without conflict are done after the first. Keys are aggregated by ``min`` on the map side, so a key that a third of all rows share is
-    no burden. Rows without any key are kept. Ties in ``order`` are broken by ``ident``, which must be unique.
+    shrinks; keys that only one row has take no part. Keys are aggregated by ``min`` on the map side, so a key that a third of all rows share is
+    no burden. Once no more than ``SCAN_KEYS`` keys of rows are undecided, one task scans them in order, which gives the same. Rows without any key are kept. Ties in ``order`` are broken by
+    ``ident``, which must be unique.
     """
     ranked = rows.select(ident, keys, F.struct(*order, F.col(ident)).alias("_rank"))
-    pending = write_shared(ranked.select(ident, "_rank", F.explode(keys).alias("_key")), "dedupe-keys")
-    kept = ranked.where(F.coalesce(F.size(keys), F.lit(0)) <= 0).select(ident)
+    every = write_shared(ranked.select(ident, "_rank", F.explode(keys).alias("_key")), "dedupe-keys")
+    shared = every.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    pending = conflicts = write_shared(every.join(shared, "_key"), "dedupe-keys")
+    kept = rows.select(ident).join(pending.select(ident).distinct(), ident, "left_anti")
+    schema = f"`{ident}` {rows.schema[ident].dataType.simpleString()}"
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come in order, the keys of one after another."""
+        taken, mine, current, out = set(), [], None, []
+        for b in batches:
+            for one, key in zip(b[ident].tolist(), b["_key"].tolist()):
+                if one != current:
+                    if current is not None and taken.isdisjoint(mine):
+                        taken.update(mine)
+                        out.append(current)
+                    current, mine = one, []
+                mine.append(key)
+        if current is not None and taken.isdisjoint(mine):
+            out.append(current)
+        yield pd.DataFrame({ident: out})
+
     while True:  # a round decides the best undecided row at least
+        n = pending.count()
+        if n <= SCAN_KEYS:
+            return rows.join(kept.unionByName(pending.repartition(1).sortWithinPartitions("_rank").select(ident, "_key").mapInPandas(scan, schema)) if n else kept, ident, "left_semi")
         best = pending.groupBy("_key").agg(F.min("_rank").alias("_best"))
         state = pending.join(best, "_key").groupBy(ident).agg(F.min(F.when(F.col("_rank") == F.col("_best"), 1).otherwise(0)).alias("wins"))
         winners = write_shared(state.where("wins = 1").select(ident), "dedupe-kept")
         kept = kept.unionByName(winners)
         claimed = pending.join(winners, ident, "left_semi").select("_key").distinct()
         losers = pending.join(claimed, "_key", "left_semi").select(ident).distinct()
-        pending = write_shared(pending.join(losers, ident, "left_anti"), "dedupe-keys")
-        if pending.limit(1).count() == 0:
-            return rows.join(kept, ident, "left_semi")
+        left = write_shared(pending.join(losers, ident, "left_anti"), "dedupe-keys")
+        if pending is not conflicts:
+            discard(pending)
+        pending = left
 
 
 def merged_location(places: Column) -> Column:
