@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.functions.identity import STATES
 from jobweave.llm.common import bounded, spread
-from jobweave.llm.places import STATES, Places, Whole
+from jobweave.llm.places import Places, Whole
 from jobweave.llm.strings import fold, grams
 from jobweave.session import write_shared
 

@@ -26,11 +26,12 @@ def draw_mixes(docs: DataFrame, targets: DataFrame, seed: int = 42, total_tokens
     ``docs`` has doc_id, source, text; ``targets`` mix_name, source, target_share (a relative weight), max_repeats. Shares count among the sources of the mix that
     have tokens; a source without any is left to the report. A mix is as large as its scarcest source allows (or ``total_tokens``, if smaller), so no document is
     drawn more than max_repeats times. Documents that hold the same text share one chance: their inclusion odds are divided by their number. Targets with a null,
-    zero or negative share or repeats below 1 draw nothing. Documents without tokens are never drawn. doc_id is taken as the identity: rows repeated under one id count once. The draw
+    zero or negative share or repeats below 1 draw nothing. Documents without tokens are never drawn. doc_id is taken as the identity: rows repeated under one id count once, the first by source and size if they differ. The draw
     depends on ``seed`` only, not on partitions. Empty tables give an empty result; only the named columns are read.
     """
     counted = count_tokens(docs.select("doc_id", "source", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same")), tokenizer=tokenizer)
-    counted = write_shared(counted.where("n_tokens > 0 and source is not null and doc_id is not null").dropDuplicates(["doc_id"]), "token-counts")
+    counted = counted.where("n_tokens > 0 and source is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens", "same")).alias("r")).select("doc_id", "r.*")
+    counted = write_shared(counted, "token-counts")
     wanted = targets.where("target_share > 0 and max_repeats >= 1").select("mix_name", "source", "target_share", "max_repeats").dropDuplicates(["mix_name", "source"])
     twins = counted.groupBy("same").agg(F.count("*").alias("twins"))
     weighted = write_shared(counted.join(twins, "same").select("doc_id", "source", "n_tokens", (1 / F.col("twins")).alias("weight")), "weighted")

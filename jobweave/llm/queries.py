@@ -41,6 +41,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return variant_pairs(link_names(names, _aliases(spark, folder)))
 
 
+def p5_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every name with its organisation: the classes of which p5_found has the pairs."""
+    names = table(spark, folder, "raw_postings").select(F.col("company").alias("name")).unionByName(table(spark, folder, "applied_exclusions").select(F.col("company_normalized").alias("name")))
+    linked = write_shared(link_names(names, _aliases(spark, folder)), "entities")
+    return linked.join(linked.groupBy("entity").agg(F.min("name").alias("first")), "entity").select("name", F.col("first").alias("entity"))
+
+
 def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))
 
@@ -131,7 +138,7 @@ b as (select group_id, f, min(tr) tr, max(s) s, max(z) z from v group by 1, 2)
 select v.group_id, v.f field_name, min(v.c) copy_id from v join b on v.group_id = b.group_id and v.f = b.f and v.tr = b.tr and v.s = b.s and v.z = b.z join d on d.group_id = v.group_id and d.f = v.f group by 1, 2
 """
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_matches": p7_matches, "p8_windows": p8_windows, "p8_fill": p8_fill, "p8_faults": p8_faults, "p9_draw": p9_draw, "p9_shares": p9_shares, "p9_faults": p9_faults, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_matches": p7_matches, "p8_windows": p8_windows, "p8_fill": p8_fill, "p8_faults": p8_faults, "p9_draw": p9_draw, "p9_shares": p9_shares, "p9_faults": p9_faults, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {
     "p6_found": P6_SQL,
     # what must hold of any packing and draw
