@@ -58,20 +58,28 @@ def same_role(a: str, b: str, standard: set[str]) -> bool:
 
 def match_roles(new: pd.DataFrame, stored: list[Segment], standard: set[str]) -> pd.DataFrame:
     """One shard of roles (entity, signature, batch, id): each with the signature under which it was first accepted (``canonical``, ``canonical_id``)."""
-    history = History(stored)
+    # roles of standard words alone differ from each other by more than a slip, so they are looked up among the others only; a call has each role once, so equal ones are in the store
+    known, every, odd = History(stored), History(), History()
     out = []
     for _, part in new.sort_values(["batch", "id"], kind="stable").groupby("batch", sort=True):
         rows = list(part.itertuples())
         texts = [role_text(r.entity, r.signature) for r in rows]
-        fresh = History()
-        fresh.add(texts, {"entity": [r.entity for r in rows], "signature": [r.signature for r in rows], "canonical": [r.signature for r in rows], "first": [int(r.id) for r in rows]})
-        best = [(int(r.id), r.signature) for r in rows]
-        for source in (history, fresh):
-            for k, s, o, share in source.covered(texts):
-                v = s.values
-                if share >= COVERED and v["first"][o] < best[k][0] and v["entity"][o] == rows[k].entity and same_role(v["signature"][o], rows[k].signature, standard):
-                    best[k] = (v["first"][o], v["canonical"][o])
-        history.add(texts, {"entity": [r.entity for r in rows], "signature": [r.signature for r in rows], "canonical": [b[1] for b in best], "first": [b[0] for b in best]})
+        strange = [k for k, r in enumerate(rows) if not standard.issuperset(r.signature.split())]
+        plain = sorted(set(range(len(rows))) - set(strange))
+        values = lambda at, names, ids: {"entity": [rows[k].entity for k in at], "signature": [rows[k].signature for k in at], "canonical": [names[k] for k in at], "first": [ids[k] for k in at]}
+        own = [(int(r.id), r.signature) for r in rows]
+        fresh, fresh_odd = History(), History()
+        for h, at in ((fresh, range(len(rows))), (fresh_odd, strange)):
+            h.add([texts[k] for k in at], values(at, [r.signature for r in rows], [int(r.id) for r in rows]))
+        best = list(own)
+        for at, sources in ((strange, (known, every, fresh)), (plain, (known, odd, fresh_odd))):
+            for source in sources:
+                for n, s, o, share in source.covered([texts[k] for k in at]):
+                    v, k = s.values, at[n]
+                    if share >= COVERED and v["first"][o] < best[k][0] and v["entity"][o] == rows[k].entity and same_role(v["signature"][o], rows[k].signature, standard):
+                        best[k] = (v["first"][o], v["canonical"][o])
+        for h, at in ((every, range(len(rows))), (odd, strange)):
+            h.add([texts[k] for k in at], values(at, [b[1] for b in best], [b[0] for b in best]))
         out.append(part[["entity", "signature"]].assign(canonical=[b[1] for b in best], canonical_id=[b[0] for b in best]))
     return pd.concat(out) if out else pd.DataFrame(columns=["entity", "signature", "canonical", "canonical_id"])
 

@@ -141,6 +141,27 @@ def test_candidates_against_brute_force():
         assert set(history.role_keys(rows[k].signature)) & set(history.role_keys(rows[j].signature))
 
 
+def test_roles_against_brute_force():
+    rnd = random.Random(5)
+    known = ["engineer", "software", "storage", "labs", "maps", "core", "growth", "voice"]
+    standard = set(known)
+    slip = lambda w: w[:2] + rnd.choice("qxz") + w[3:]
+    seen = {}
+    for k in range(300):
+        words = rnd.sample(known, rnd.choice([1, 2, 3, 4]))
+        if rnd.random() < 0.3:
+            words[0] = slip(words[0])
+        seen.setdefault((rnd.choice("ab"), " ".join(sorted(words))), k)
+    new = pd.DataFrame([(e, s, k // 30, k) for (e, s), k in seen.items()], columns=["entity", "signature", "batch", "id"])
+    got = {(r.entity, r.signature): r.canonical_id for r in history.match_roles(new, [], standard).itertuples()}
+    want = {}
+    for (e, s), k in sorted(seen.items(), key=lambda x: x[1]):
+        before = [(want[e, t], t) for (f, t), n in seen.items() if f == e and n // 30 < k // 30 and history.same_role(t, s, standard)]
+        inside = [(n, t) for (f, t), n in seen.items() if f == e and n // 30 == k // 30 and n < k and history.same_role(t, s, standard)]
+        want[e, s] = min([k, *(x for x, _ in before), *(n for n, _ in inside)])
+    assert got == want and sum(got[x] != seen[x] for x in seen) > 20
+
+
 def test_find_repeats(spark, reference):
     schema = "id long, batch int, name string, title string, place string, hint string, link string, source string, entity string"
     u = "https://boards.example/acme/jobs/1234567"
