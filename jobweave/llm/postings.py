@@ -46,6 +46,19 @@ def read_standard(titles: DataFrame) -> dict[str, int]:
     return standard_list(*count_tokens(titles))
 
 
+_READERS: dict[tuple, tuple[Titles, Places, dict]] = {}
+
+
+def _reader(standard: dict[str, int], places_rows: list[tuple]) -> tuple[Titles, Places, dict]:
+    """The readers for these lists and what they have read, kept by the worker from task to task; only the last ones are."""
+    key = (hash(frozenset(standard.items())), hash(tuple(places_rows)))
+    if key not in _READERS:
+        _READERS.clear()
+        places = Places(sorted(places_rows))
+        _READERS[key] = (Titles(standard, places), places, {})
+    return _READERS[key]
+
+
 def read_postings(rows: DataFrame, standard: dict[str, int], reference: DataFrame) -> DataFrame:
     """``rows`` (key, title, team, place, hint) with signature, cycle, places: one pass without any shuffle.
 
@@ -56,9 +69,7 @@ def read_postings(rows: DataFrame, standard: dict[str, int], reference: DataFram
 
     @F.pandas_udf("signature string, cycle string, places array<int>")
     def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        places = Places(sorted(places_rows))
-        titles = Titles(standard, places)
-        cache: dict[str, tuple] = {}
+        titles, places, cache = _reader(standard, places_rows)
         for batch in batches:
             sig, cyc, loc = [], [], []
             for title, team, place, hint in zip(*(b.tolist() for b in batch)):

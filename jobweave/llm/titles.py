@@ -115,6 +115,8 @@ class Titles:
         known = True
         for w in _WORD.findall(text):
             if w not in self.tokens:
+                if len(self.tokens) > 300_000:
+                    self.tokens.clear()
                 self.tokens[w] = self._token(w)
             t, ok = self.tokens[w]
             got += t
@@ -156,6 +158,8 @@ class Titles:
                 text = _YEAR.sub(" ", text)
         for w in _SEASONLIKE.findall(text):
             if w not in self.seasons:
+                if len(self.seasons) > 300_000:
+                    self.seasons.clear()
                 self.seasons[w] = self._season(w)
             s, exact = self.seasons[w]
             if s and (exact or years):
