@@ -21,11 +21,11 @@ from jobweave.llm.common import spread
 from jobweave.llm.postings import add_entities, count_tokens, link_key, read_postings, standard_list
 from jobweave.llm.segments import History, Segment, SegmentStore, segments_of
 from jobweave.llm.strings import edits
-from jobweave.session import shared_dir, write_shared
+from jobweave.session import discard, remove, shared_dir, write_shared
 
 #: A row that fits several postings is taken for the one whose rows it lies this many times nearer to (in order of acceptance), else for none.
 NEARER = 3
-#: Incomplete rows of one role that a task takes; more are shared out, each part with all postings of the role.
+#: Incomplete rows of one role that a task takes; more are shared out, each part with all postings of the role. Also the rows of a table for which a store gets one shard.
 SHARD_ROWS = 20_000
 #: Share of a role's stretches that matches must cover before the words are compared: all but one, of two or more.
 COVERED = 0.5
@@ -347,7 +347,8 @@ def accept_batches(rows: DataFrame, reference: DataFrame, aliases: DataFrame | N
     store.put("names", added, add=True)
     known = _roles(kept, store, set(standard))
     rows = kept.join(known, ["entity", "signature"]).withColumn("tag", F.lower(F.lpad(F.hex(F.xxhash64("entity", "canonical")), 16, "0"))).drop("entity", "signature", "canonical")
-    rows, lacking = _evidence(write_shared(rows, "tagged"), store)
+    tagged = write_shared(rows, "tagged")
+    rows, lacking = _evidence(tagged, store)
     tie = F.coalesce(F.concat(F.lit("u:"), "link"), F.concat(F.lit("s:"), "source"))
     alone = F.when(F.size("places") > 1, F.concat_ws(" ", "cycle", F.to_json("places"))).otherwise(F.concat(F.lit("i:"), "id"))
     whole = (F.col("cycle") != "") & (F.size("places") == 1)
@@ -373,6 +374,8 @@ def accept_batches(rows: DataFrame, reference: DataFrame, aliases: DataFrame | N
     found = rows.select("id", "d").join(answers, "d").where("id > first")
     found = write_shared(found.select("first", F.col("id").alias("later")).distinct(), "repeats")
     store.commit()
+    for df in (kept, tagged, rows, work, labels, named):
+        discard(df)
     return found
 
 
@@ -413,4 +416,8 @@ def _keep(named: DataFrame, store: SegmentStore) -> None:
 def find_repeats(rows: DataFrame, reference: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``accept_batches`` of a whole table, batch after batch, into an empty store."""
     spark = rows.sparkSession
-    return accept_batches(rows, reference, aliases, SegmentStore(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"))
+    shards = max(2 * spark.sparkContext.defaultParallelism, rows.count() // SHARD_ROWS + 1)
+    root = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    found = accept_batches(rows, reference, aliases, SegmentStore(spark, root, shards))
+    remove(spark, root)
+    return found
